@@ -27,8 +27,38 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import media_digest, store_text
+
+    return media_digest(store_text(load(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, train
+
+    docs = load(spark, sf_dir, "documents")
+    model = train(docs, ~held_out())
+    return identify(docs, model).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_matroska": op8_matroska,
 }
 
 ORACLES: dict[str, str] = {
