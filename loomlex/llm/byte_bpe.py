@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +25,8 @@ from . import runtime
 
 #: Maps over which the rank literal is dealt: a few entries each.
 MAPS = 16384
+#: The seed of Spark's xxhash64.
+HASH_SEED = 42
 #: Stands for a pair without a rank; above every rank.
 NONE = 2**31 - 1
 
@@ -33,12 +37,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in f if line.strip())}
 
 
-def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """Ranks as one value of type array<map<binary, int>>, computed once and put into the plan as a literal."""
-    rows = spark.createDataFrame(pa.table({"piece": pa.array(list(ranks), pa.binary()), "rank": pa.array(list(ranks.values()), pa.int32())}))
-    maps = rows.groupBy(F.pmod(F.xxhash64("piece"), F.lit(MAPS)).alias("map")).agg(F.map_from_entries(F.collect_list(F.struct("piece", "rank"))).alias("entries"))
-    every = spark.range(MAPS).select(F.col("id").alias("map")).join(maps, "map", "left").select("map", F.coalesce("entries", F.create_map().cast("map<binary,int>")).alias("entries"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("map", F.map_entries("entries").alias("e")))), lambda x: F.map_from_entries(x["e"]))).scalar()
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """Ranks as one literal of type array<map<string, int>>: pieces in hexadecimal, dealt to maps by their hash. JSON
+    is the public way to a literal of this size; Catalyst folds it once, when it plans."""
+    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
+    for piece, rank in ranks.items():
+        key = piece.hex().upper()
+        maps[xxhash.xxh64_intdigest(key.encode(), HASH_SEED) % MAPS][key] = rank
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,12 +53,17 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def encode_word(word: Column, literal: Column) -> Column:
-    """The ids of one pre-token, an array<int>; an empty one has none."""
-    rank = lambda piece: F.coalesce(F.try_element_at(F.element_at(literal, (F.pmod(F.xxhash64(piece), F.lit(MAPS)) + 1).cast("int")), piece), F.lit(NONE))
-    raw = F.encode(word, "UTF-8")
-    count = F.octet_length(raw)
+    """The ids of one pre-token, an array<int>; an empty one has none. Bytes are in hexadecimal throughout."""
+    return _let(literal, lambda maps: _encode(word, maps))
+
+
+def _encode(word: Column, maps: Column) -> Column:
+    # the hash as an unsigned number modulo a power of two: its low bits
+    rank = lambda piece: F.coalesce(F.try_element_at(F.element_at(maps, (F.xxhash64(piece).bitwiseAND(F.lit(MAPS - 1)) + 1).cast("int")), piece), F.lit(NONE))
+    raw = F.hex(F.encode(word, "UTF-8"))
+    count = (F.length(raw) / 2).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    symbols = F.transform(upto(count), lambda i: F.substring(raw, i, F.lit(1)))
+    symbols = F.transform(upto(count), lambda i: F.substring(raw, i * 2 - 1, F.lit(2)))
     start = _let(symbols, lambda s: F.struct(s.alias("s"), F.transform(upto(F.size(s) - 1), lambda i: rank(F.concat(F.element_at(s, i), F.element_at(s, i + 1)))).alias("r")))
 
     def merge(held: Column, j: Column) -> Column:
@@ -91,7 +102,7 @@ def split_by(pattern: str) -> Callable[[list], list[list[str]]]:
 def encode_blocks(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """block, place and ids (decimal, joined by spaces) of each distinct word of a block; a word is encoded once,
     at the first of its rows, and the rest of them take it from there."""
-    literal = rank_literal(blocks.sparkSession, ranks)
+    literal = rank_literal(ranks)
     rows = B.word_rows(blocks).select("word", "block", "place")
     same = Window.partitionBy("word").orderBy("block")
     rows = rows.withColumn("n", F.row_number().over(same))
@@ -146,11 +157,11 @@ def roundtrip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """id and text (binary) of arrays of ids: their pieces, concatenated. Null and empty arrays give empty bytes; an id
     outside the vocabulary is an error."""
-    spark = encoded.sparkSession
     ranks = read_ranks(ranks_path)
-    order = sorted(ranks, key=ranks.get)
-    rows = spark.createDataFrame(pa.table({"id": pa.array([ranks[p] for p in order], pa.int32()), "piece": pa.array(order, pa.binary())}))
-    pieces = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"])).scalar()
+    order: list[bytes] = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        order[rank] = piece
+    pieces = F.from_json(F.lit(json.dumps([p.hex() for p in order], separators=(",", ":"))), "array<string>")
     ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))
     # pieces in hexadecimal, joined at once: a fold of growing binaries would copy a long text for each of its ids
-    return encoded.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.array_join(F.transform(ids, lambda i: F.hex(F.element_at(pieces, i + 1))), "")).alias("text"))
+    return encoded.select(F.col(f"`{id_col}`").alias("id"), F.unhex(_let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), ""))).alias("text"))
