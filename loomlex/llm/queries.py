@@ -71,6 +71,31 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    found = near_duplicates(load(spark, sf_dir, "documents"), size=4)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+#: All pairs that share a shingle, their exact similarity, and components by recursion.
+OP9_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS a FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(a) < 4 THEN array_to_string(a, ' ') ELSE array_to_string(a[i:i + 3], ' ') END AS g
+  FROM (SELECT doc_id, a, unnest(range(1, greatest(2, len(a) - 2))) AS i FROM w WHERE len(a) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+  JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(c.b) AS component_id, d.doc_id = min(c.b) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
@@ -78,9 +103,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_matroska": op8_matroska,
+    "op9_minhash": op9_minhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": OP7_SQL,
+    "op9_minhash": OP9_SQL,
 }
