@@ -96,7 +96,14 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id GROUP BY d.
 """
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import lm_scores
+
+    return lm_scores(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
     "op5_source_mixing": op5_source_mixing,
