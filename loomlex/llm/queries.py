@@ -102,10 +102,26 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels: toxic 0, low quality 1, good 2."""
+    labels = load(spark, sf_dir, "labels")
+    return labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out
+    from .quality import grade, train
+
+    docs = load(spark, sf_dir, "documents")
+    model = train(docs, ratings(spark, sf_dir), ~held_out("id"))
+    return grade(docs, model, wanted=2).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "expected_grade", "tail_prob", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
