@@ -2,11 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomlex.llm import byte_bpe, content_sort, langid, mixing, near_dups, runtime
+
+#: Numbers rows, so that a decision holds for a row and not for all rows of its identifier.
+ROW = "loomlex_row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification; documents of which no language can be told go."""
+    return langid.accepted(docs, langid.train(docs, ~langid.held_out()))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact de-duplication; of equal texts the one of the smallest identifier stays."""
+    rows = _rows(docs)
+    kept = content_sort.exact_duplicates(rows, row_col=ROW).where("kept").select(F.col("row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-duplicates by five words; of each component the document of the smallest identifier stays, and documents
+    without words, which are linked with nothing, all do."""
+    rows = _rows(docs)
+    found = near_dups.near_duplicates(rows, row_col=ROW)
+    alone = found.where("n_shingles = 0").select("row")
+    least = found.where("n_shingles > 0 and id <=> component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row")
+    return rows.join(alone.unionByName(least).withColumnRenamed("row", ROW), ROW, "left_semi").drop(ROW)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their target weights; a document that the mix takes more than once occurs as often."""
+    rows = _rows(docs)
+    copies = mixing.mix(rows, row_col=ROW).where("copies > 0").select(F.col("row").alias(ROW), "copies")
+    copies = copies.select(ROW, F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    return rows.join(copies, ROW).drop(ROW)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of what is left, decoded again: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    import public_tokenizers
+
+    found = byte_bpe.roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id")
 
-from loomlex.llm import runtime
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
 
 #: Language scores and byte-pair merges are beyond SQL, so the pipeline is tested against brute force.
 ORACLE_SQL = None
@@ -14,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.load(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = runtime.materialise(docs, f"stage-{k}")

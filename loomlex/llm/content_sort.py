@@ -34,8 +34,9 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 norm,
                 pa.array([v[:PREFIX_BYTES] for v in values], pa.binary()),
                 pa.array([hashlib.sha256(v).digest() for v in values], pa.binary()),
+                b.column(2),
             ],
-            ["id", "norm", "prefix", "digest"],
+            ["id", "norm", "prefix", "digest", "row"],
         )
 
 
@@ -47,32 +48,33 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before: bytes | None = None
     run, place = -1, 0
     held: tuple | None = None  # the last row seen; whether it ends the partition is known only later
-    names = ["id", "part", "run", "place", "sha", "edge"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["id", "row", "part", "run", "place", "sha", "edge"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     for b in batches:
         rows = []
-        for doc, norm, digest in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+        for doc, norm, digest, row in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4))):
             if norm != before:
                 run, before = run + 1, norm
             if held is not None:
                 rows.append(held)
-            held = (doc, part, run, place, digest.hex(), norm if place == 0 else None)
+            held = (doc, row, part, run, place, digest.hex(), norm if place == 0 else None)
             place += 1
         if rows:
             yield out(rows)
     if held is not None:
-        yield out([(*held[:5], before)])
+        yield out([(*held[:6], before)])
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", partitions: int | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", partitions: int | None = None, row_col: str | None = None) -> DataFrame:
     """Groups of rows whose texts are equal after lower-casing A-Z.
 
     keep: the row of the ``smallest`` or the ``largest`` identifier of a group stays. Returns one row for each row of
-    ``docs``: id, keep_id, group_size, kept, sha (hex digest of the normalised UTF-8 bytes). A null text counts as an
+    ``docs``: id, row (what ``row_col`` holds, a whole number, or null), keep_id, group_size, kept, sha (hex digest of
+    the normalised UTF-8 bytes). A null text counts as an
     empty one; a null identifier comes after all others when choosing. Where an identifier occurs twice in a group,
     one of its rows stays. An empty table gives no rows; further columns of ``docs`` are not read.
     """
@@ -81,10 +83,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     runtime.prepare(spark)
     n = partitions or runtime.shuffle_partitions(spark)
-    rows = runtime.only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
-    rows = rows.mapInArrow(_normalise, "id long, norm binary, prefix binary, digest binary")
+    rows = runtime.rows_of(docs, id_col, text_col, row_col)
+    rows = rows.mapInArrow(_normalise, "id long, norm binary, prefix binary, digest binary, row long")
     ordered = rows.repartitionByRange(n, "prefix", "digest", "id").sortWithinPartitions("prefix", "digest", "norm", "id")
-    placed = runtime.materialise(ordered.mapInArrow(_runs, "id long, part int, run long, place long, sha string, edge binary"), "runs")
+    placed = runtime.materialise(ordered.mapInArrow(_runs, "id long, row long, part int, run long, place long, sha string, edge binary"), "runs")
 
     best = F.max if keep == "largest" else F.min
     rank = F.struct(F.col("id").isNotNull().alias("known") if keep == "largest" else F.col("id").isNull().alias("unknown"), "id", "part", "place")
@@ -97,6 +99,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs = runs.select("part", "run", "lead").join(whole, "lead").select("part", "run", "best", "size")
     return placed.join(runs, ["part", "run"]).select(
         "id",
+        "row",
         F.col("best.id").alias("keep_id"),
         F.col("size").alias("group_size"),
         ((F.col("part") == F.col("best.part")) & (F.col("place") == F.col("best.place"))).alias("kept"),

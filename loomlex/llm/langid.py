@@ -179,19 +179,36 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 def predictor(model: Model | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            told = [k for k, t in enumerate(texts) if model is not None and has_letter(t)]
-            for at in range(0, len(told), 128):
-                some = told[at : at + 128]
-                found, sure = model.predict(np.stack([features(texts[k]) for k in some]))
-                for k, lang, s in zip(some, found, sure):
-                    langs[k], scores[k] = lang, s
+            langs, scores = predictions(model, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     return predict
 
 
+def predictions(model: Model | None, texts: list) -> tuple[list[str], np.ndarray]:
+    langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    told = [k for k, t in enumerate(texts) if model is not None and has_letter(t)]
+    for at in range(0, len(told), 128):
+        some = told[at : at + 128]
+        found, sure = model.predict(np.stack([features(texts[k]) for k in some]))
+        for k, lang, s in zip(some, found, sure):
+            langs[k], scores[k] = lang, s
+    return langs, scores
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.1, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all of their columns, whose language is told with a score of at least ``least``."""
+    runtime.prepare(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, scores = predictions(model, b.column(place).to_pylist())
+            yield b.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(accept, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """One identifier in five, by CRC-32 of its decimal text."""
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 5 == 0

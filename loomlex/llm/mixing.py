@@ -118,14 +118,15 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
     return [[flow.arcs[x ^ 1][1] for x in xs] for xs in links]
 
 
-def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, most: int = 3) -> DataFrame:
+def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, most: int = 3, row_col: str | None = None) -> DataFrame:
     """Mix all of ``docs`` to target weights.
 
     members: an array of the sources a document belongs to; by default the one in ``source_col``. Sources ordered by
     code point, null last, weigh 1, 2, 3, repeating, and share all words by weight; a source's target stops at ``most``
-    times its words and what is above goes to the others by weight. Returns a row for each row of ``docs``: id, size
-    (its words; null and empty texts have 0), source_size and target (of its sources, added up), taken (words that the
-    mix takes from it, repeats counted, at most ``most`` times its size). Documents are taken whole, so the sum over a
+    times its words and what is above goes to the others by weight. Returns a row for each row of ``docs``: id, row
+    (what ``row_col`` holds, else a number of its own), size (its words; null and empty texts have 0), source_size and
+    target (of its sources, added up), copies (how often the mix takes it, at most ``most`` times) and taken (its words,
+    repeats counted). Documents are taken whole, so the sum over a
     pattern differs from its flow by what one document of the best size leaves. Equal
     input gives equal results whatever its partitioning; rows alike in every respect share a fate only in number. An
     empty table gives no rows; other columns are not read.
@@ -133,9 +134,10 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
     spark = docs.sparkSession
     runtime.prepare(spark)
     own = F.array(F.col(f"`{source_col}`").cast("string")) if members is None else F.array_sort(F.array_distinct(members.cast("array<string>")))
-    sized = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(own, F.array().cast("array<string>")).alias("members"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(WORDS)).cast("long").alias("size"))
+    row = F.col(f"`{row_col}`").cast("long") if row_col else F.monotonically_increasing_id()
+    sized = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(own, F.array().cast("array<string>")).alias("members"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(WORDS)).cast("long").alias("size"))
     # the pattern as one string, nulls told apart from empty names
-    sized = sized.withColumn("key", F.array_join("members", "\x1f", "\x1e")).withColumn("hash", F.xxhash64(F.lit(seed), "id", "size")).withColumn("row", F.monotonically_increasing_id())
+    sized = sized.withColumn("key", F.array_join("members", "\x1f", "\x1e")).withColumn("hash", F.xxhash64(F.lit(seed), "id", "size"))
     sized = runtime.materialise(sized, "sizes")
 
     patterns = [(tuple(r["members"]), r["size"]) for r in sized.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_ARCS + 1).collect()]
@@ -180,4 +182,4 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
     last = near.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "hash", "id", "row")).alias("last")).select("pattern", F.col("last.row").alias("last"))
     final = chosen.join(F.broadcast(last) if small else last, "pattern", "left")
     turns = F.col("passes") + (F.col("more") | F.coalesce(F.col("row") == F.col("last"), F.lit(False))).cast("long")
-    return final.select("id", "size", "source_size", "target", (turns * F.col("size")).alias("taken"))
+    return final.select("id", "row", "size", "source_size", "target", turns.alias("copies"), (turns * F.col("size")).alias("taken"))

@@ -121,7 +121,7 @@ def _signatures(size: int):
                 n.append(len(s))
                 keys.append(signer.key(s) if len(s) else None)
                 bands.append(signer.band_hashes(signer.sign(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), b.column(2)], ["id", "n", "key", "bands", "row"])
 
     return sign
 
@@ -193,8 +193,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and component_id (the least identifier that links reach, the row's own included) of every row.
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """id, row (what ``row_col`` holds, or null), n_shingles and component_id (the least identifier that links reach, the row's own included) of every row.
 
     Two documents are linked when 100 * intersection >= percent * union of their sets of ``size``-word shingles. A text
     of fewer words is one shingle; a null or empty one, or one of white space, has none and is linked with nothing.
@@ -203,8 +203,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     runtime.prepare(spark)
-    docs = runtime.only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
-    signed = runtime.materialise(docs.mapInArrow(_signatures(size), "id long, n long, key binary, bands array<long>"), "signed")
+    docs = runtime.rows_of(docs, id_col, text_col, row_col)
+    signed = runtime.materialise(docs.mapInArrow(_signatures(size), "id long, n long, key binary, bands array<long>, row long"), "signed")
     nodes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = runtime.materialise(nodes, "nodes")
 
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         classes = classes.join(least, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
     else:
         classes = classes.withColumnRenamed("rep", "component_id")
-    return signed.select("id", "n", "key").join(classes, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return signed.select("id", "row", "n", "key").join(classes, "key", "left").select("id", "row", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _banded(nodes: DataFrame, labels: DataFrame | None, last: int) -> DataFrame:

@@ -42,7 +42,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return mix(load(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def only(docs: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names, so that other columns of the table, whatever their names, can't clash."""
     return docs.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """id, text and row, a number that tells rows of one identifier apart, or null where no column holds one."""
+    row = F.col(f"`{row_col}`") if row_col else F.lit(None)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), row.cast("long").alias("row"))
