@@ -191,13 +191,13 @@ def resolve(name: str) -> str:
     return ALIASES.get(name.lower(), name.lower())
 
 
-def checked(r: Relation) -> Relation:
+def checked(r: Relation, given: bool) -> Relation:
+    """given: whether positions were stated, not derived; one that is missing then is an error."""
     tokens = bcql.split_tokens(r.pattern)
-    labelled = {k for k in (1, 2) if bcql.label_index(r.pattern, k) > 0}
     if not tokens:
         raise GrammarError(f"{r.id}: no token in its pattern")
     for place in (r.head_position, r.collocate_position):
-        if place < 1 or place > len(tokens) and not r.dual and labelled:
+        if place < 1 or place > len(tokens) and not r.dual and given:
             raise GrammarError(f"{r.id}: position {place} is outside its pattern")
     bcql.variants(r.parsed)
     return r
@@ -205,11 +205,11 @@ def checked(r: Relation) -> Relation:
 
 def relation(id: str, pattern: str, **more) -> Relation:
     """A relation with the places of its labels, where they aren't given."""
-    places = {}
+    places, given = {}, bool(more.get("head_position") or more.get("collocate_position"))
     for k, key, default in ((1, "head_position", 1), (2, "collocate_position", 2)):
         at = bcql.label_index(pattern, k)
         places[key] = more.pop(key, None) or (at if at > 0 else default)
-    return checked(Relation(id, pattern, **places, **more))
+    return checked(Relation(id, pattern, **places, **more), given)
 
 
 def english() -> Grammar:
