@@ -67,7 +67,7 @@ def builder(split: Callable[[list], list[list]], count_words: Callable[[int | No
         if words and isinstance(words[0], bytes):
             words = [w.decode() for w in words]
         of = np.repeat(np.array(counted, bool), lens)
-        counts = np.bincount(rank[flat[of]], minlength=len(words)).astype(np.int64)
+        counts = np.bincount(rank[flat[of]], minlength=len(words)).astype(np.int64) if count_words else np.zeros(0, np.int64)
         payload = pack(ids=np.array(ids, np.int64), known=np.array(known, np.uint8), sizes=np.array(sizes, np.int64), counted=np.array(counted, np.uint8), lens=lens, flat=rank[flat])
         kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(((part << 32) + k, words, counts, payload), kinds)], ["block", "words", "counts", "payload"])
@@ -100,7 +100,7 @@ def builder(split: Callable[[list], list[list]], count_words: Callable[[int | No
 
 
 def build_blocks(docs: DataFrame, split: Callable, id_col: str, text_col: str, count_words: Callable | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """The blocks (block, words, counts, payload) of a table's documents, written to the shared folder in buckets by
+    """The blocks (block, words, counts, payload) of a table's documents (no counts without ``count_words``), written to the shared folder in buckets by
     block, and the number of buckets."""
     spark = docs.sparkSession
     runtime.prepare(spark)
@@ -117,20 +117,71 @@ def word_rows(blocks: DataFrame) -> DataFrame:
     return rows.select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
 
 
-def by_block(blocks: DataFrame, buckets: int, values: DataFrame, apply: Callable[[dict, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``apply`` of every block's arrays and of the rows of ``values`` (block, place and more) that belong to it, in
-    any order. A block has a bounded number of bytes, and so has what meets in one call."""
+#: Rows of values that a task holds before it packs them by block.
+PACK_ROWS = 1 << 20
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [apply(unpack(payload), right) for payload in left.column("payload").to_pylist()]
-        return pa.concat_tables(parts)
 
-    near = values.withColumnRenamed("block", "of").repartition(buckets, "of").groupBy("of")
-    return blocks.select("block", "payload").groupBy("block").cogroup(near).applyInArrow(lambda left, right: meet(left, right), schema)
+def packer(names: list[str]):
+    """A mapInArrow function from rows of (block, place, *names) to a row of packed arrays for each block: places in
+    order, so that they pack to a byte or two, and numbers or binaries in the order of the places."""
 
+    def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += len(b)
+            if rows >= PACK_ROWS:
+                yield close(held)
+                held, rows = [], 0
+        if rows:
+            yield close(held)
+
+    def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        block, place = t.column("block").to_numpy(), t.column("place").to_numpy()
+        order = np.lexsort((place, block))
+        t = t.take(pa.array(order)).combine_chunks()
+        block, cuts = np.unique(block[order], return_index=True)
+        data = []
+        for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(t)]):
+            arrays = {"place": np.diff(t.column("place").slice(a, e - a).to_numpy().astype(np.int32), prepend=np.int32(0))}
+            for n in names:
+                column = t.column(n).slice(a, e - a)
+                if pa.types.is_binary(column.type):
+                    values = column.to_pylist()
+                    arrays[f"{n} lengths"] = np.array([len(v) for v in values], np.int32)
+                    arrays[f"{n} bytes"] = np.frombuffer(b"".join(values), np.uint8)
+                else:
+                    arrays[n] = column.to_numpy()
+            data.append(pack(**arrays))
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(data, pa.binary())], ["of", "data"])
+
+    return pack_rows
+
+
+def by_block(blocks: DataFrame, buckets: int, values: DataFrame, apply: Callable[[dict, dict], pa.Table], schema: str) -> DataFrame:
+    """``apply`` of every block's arrays and of its values: arrays by the names of the columns of ``values`` (block,
+    place and more), in the order of the places 0, 1, ...; binaries as lists. A block has a bounded number of bytes,
+    and so has what meets in one call."""
+    names = [c for c in values.columns if c not in ("block", "place")]
 
-def in_places(right: pa.Table, name: str, kind: type, size: int) -> np.ndarray:
-    """A column of a block's values in the order of their words' places."""
-    out = np.zeros(size, kind)
-    out[right.column("place").to_numpy()] = right.column(name).to_numpy()
-    return out
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [unpack(d) for d in right.column("data").to_pylist()]
+        found: dict = {}
+        if parts:
+            order = np.argsort(np.concatenate([np.cumsum(p["place"]) for p in parts]), kind="stable")
+        for n in names:
+            if parts and n in parts[0]:
+                found[n] = np.concatenate([p[n] for p in parts])[order]
+            elif parts:
+                ends = [np.cumsum(p[f"{n} lengths"]) for p in parts]
+                raw = [p[f"{n} bytes"].tobytes() for p in parts]
+                flat = [r[a:e] for r, es in zip(raw, ends) for a, e in zip([0, *es[:-1].tolist()], es.tolist())]
+                found[n] = [flat[k] for k in order.tolist()]
+            else:
+                found[n] = np.zeros(0, np.int64)
+        return pa.concat_tables([apply(unpack(payload), found) for payload in left.column("payload").to_pylist()])
+
+    packed = values.select("block", "place", *names).mapInArrow(packer(names), "of long, data binary")
+    near = packed.repartition(buckets, "of").groupBy("of")
+    return blocks.select("block", "payload").groupBy("block").cogroup(near).applyInArrow(lambda left, right: meet(left, right), schema)

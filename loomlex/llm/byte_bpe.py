@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blocks as B
-from . import runtime
 
 #: Maps over which the rank literal is dealt: a few entries each.
 MAPS = 16384
@@ -100,24 +99,26 @@ def split_by(pattern: str) -> Callable[[list], list[list[str]]]:
 
 
 def encode_blocks(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """block, place and ids (decimal, joined by spaces) of each distinct word of a block; a word is encoded once,
+    """block, place and ids (four bytes each) of each distinct word of a block; a word is encoded once,
     at the first of its rows, and the rest of them take it from there."""
     literal = rank_literal(ranks)
     rows = B.word_rows(blocks).select("word", "block", "place")
     same = Window.partitionBy("word").orderBy("block")
     rows = rows.withColumn("n", F.row_number().over(same))
-    rows = rows.withColumn("own", F.when(F.col("n") == 1, F.array_join(F.transform(encode_word(F.col("word"), literal), lambda x: x.cast("string")), " ")))
+    rows = rows.withColumn("own", F.when(F.col("n") == 1, F.unhex(F.array_join(F.transform(encode_word(F.col("word"), literal), lambda x: F.lpad(F.hex(x), 8, "0")), ""))))
     return rows.select("block", "place", F.first("own", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("ids"))
 
 
 def _documents(pieces: dict[int, bytes], whole: bool):
-    def gather(block: dict[str, np.ndarray], right: pa.Table) -> pa.Table:
-        n = len(right)
-        words: list = [""] * n
-        for place, ids in zip(right.column("place").to_pylist(), right.column("ids").to_pylist()):
-            words[place] = ids
-        decoded = [b"".join([pieces[int(i)] for i in w.split(" ")]) for w in words]
-        lengths = np.array([w.count(" ") + 1 for w in words], np.int64)
+    names = [str(i) for i in range(max(pieces, default=0) + 1)]
+
+    def gather(block: dict[str, np.ndarray], found: dict[str, list[bytes]]) -> pa.Table:
+        lengths = np.array([len(w) // 4 for w in found["ids"]], np.int64)
+        known = np.frombuffer(b"".join(found["ids"]), ">i4").tolist()
+        cuts = np.cumsum(lengths).tolist()
+        own = [known[a:e] for a, e in zip([0, *cuts[:-1]], cuts)]
+        words = [" ".join([names[i] for i in w]) for w in own]
+        decoded = [b"".join([pieces[i] for i in w]) for w in own]
         flat, ends = block["flat"], np.cumsum(block["lens"])
         upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths[flat])])
         ids, texts, at = [], [], 0

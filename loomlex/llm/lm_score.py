@@ -68,10 +68,8 @@ class Vocabulary:
         return out
 
 
-def _code(block: dict[str, np.ndarray], right: pa.Table) -> pa.Table:
-    n = len(right)
-    models = B.in_places(right, "model", np.int16, n)
-    counts = B.in_places(right, "c", np.int64, n)
+def _code(block: dict[str, np.ndarray], found: dict[str, np.ndarray]) -> pa.Table:
+    models, counts = found["model"].astype(np.int16), found["c"].astype(np.int64)
     block |= {"models": models, "counts": counts}
     block.pop("sizes")
     return pa.table({"payload": pa.array([B.pack(**block)], pa.binary())})

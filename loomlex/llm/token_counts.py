@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from . import runtime
 
 #: The split of byte-level BPE before its merges; ``Splitter`` checks that the tokenizer file asks for the same.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -75,8 +74,8 @@ def _pieces(path: str):
     return count
 
 
-def _sums(block: dict[str, np.ndarray], pieces: pa.Table) -> pa.Table:
-    known = B.in_places(pieces, "pieces", np.int64, len(pieces))
+def _sums(block: dict[str, np.ndarray], found: dict[str, np.ndarray]) -> pa.Table:
+    known = found["pieces"].astype(np.int64)
     # a document without words sums to nothing
     upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(known[block["flat"]])])
     ends = np.cumsum(block["lens"])
