@@ -67,3 +67,9 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
     """id, text and row, a number that tells rows of one identifier apart, or null where no column holds one."""
     row = F.col(f"`{row_col}`") if row_col else F.lit(None)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), row.cast("long").alias("row"))
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all scratch data under the session's shared folder: to be called when no result that reads them is open."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/loomlex")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
