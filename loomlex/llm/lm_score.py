@@ -22,7 +22,7 @@ from . import gru, runtime
 
 #: Rounds of learning and averaging; each training document is in one of them.
 ROUNDS = 3
-#: Weight of the network in the mixture; counts have the rest.
+#: Weight of the network in the mixture, of words and again of documents; counts have the rest.
 SHARE = 0.9
 #: Floats of a piece of the weights, as they are averaged.
 PIECE = 1 << 14
@@ -133,6 +133,9 @@ def _score(weights: dict[str, np.ndarray], vocabulary: Vocabulary):
                 own = gru.score(network, models[tokens], starts, lengths) + within
                 mixed = np.logaddexp(own + np.log(SHARE), base + np.log(1 - SHARE))
                 added = lambda x: np.add.reduceat(x, starts)  # noqa: E731  no document is without its end
+                # a whole document may be of either kind, so none scores much below its counts
+                counted, both = added(base), added(mixed)
+                score = np.logaddexp(both + np.log(SHARE), counted + np.log(1 - SHARE))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(block["ids"], mask=block["known"] == 0),
@@ -140,8 +143,8 @@ def _score(weights: dict[str, np.ndarray], vocabulary: Vocabulary):
                         pa.array(lengths),
                         pa.array(added((counts > 0)[tokens].astype(np.int64))),
                         pa.array(np.full(len(starts), vocabulary.total, np.int64)),
-                        pa.array(added(base) / LN10),
-                        pa.array(added(mixed) / LN10),
+                        pa.array(counted / LN10),
+                        pa.array(score / LN10),
                     ],
                     ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
