@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blocks as B
+from . import pretokens
 
 #: Maps over which the rank literal is dealt: a few entries each.
-MAPS = 16384
+MAPS = 32768
 #: The seed of Spark's xxhash64.
 HASH_SEED = 42
 #: Stands for a pair without a rank; above every rank.
@@ -90,10 +91,8 @@ def split_by(pattern: str) -> Callable[[list], list[list[str]]]:
 
     def split(texts: list) -> list[list[str]]:
         if not held:
-            import regex
-
-            held.append(regex.compile(pattern))
-        return [held[0].findall(t) if t else [] for t in texts]
+            held.append(pretokens.finder(pattern))
+        return [held[0](t) if t else [] for t in texts]
 
     return split
 

@@ -12,13 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-
-#: The split of byte-level BPE before its merges; ``Splitter`` checks that the tokenizer file asks for the same.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Outside this range libraries of different Unicode versions may class a character differently, and the
-#: tokenizer's own splitter is asked.
-PLAIN = r"[^\x00-ɏ‐-‧‰-⁞₠-₿]"
-
+from . import pretokens
 
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,7 +22,8 @@ def load_tokenizer(path: str):
 
 
 def splitter(path: str) -> Callable[[list], list[list[str]]]:
-    """Pre-tokens of texts as the tokenizer of ``path`` makes them; special strings stay whole."""
+    """Pre-tokens of texts as the byte-level tokenizer of ``path`` makes them; special strings stay whole. Where
+    libraries of different Unicode versions may class a character differently, the tokenizer's own splitter is asked."""
     held: list = []
 
     def split(texts: list) -> list[list[str]]:
@@ -37,18 +32,14 @@ def splitter(path: str) -> Callable[[list], list[list[str]]]:
 
             tokenizer = load_tokenizer(path)
             special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-            held.extend([tokenizer.pre_tokenizer, regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None, regex.compile(PATTERN), regex.compile(PLAIN)])
-        pre, special, pattern, odd = held
+            pre = tokenizer.pre_tokenizer
+            held.extend([regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None, pretokens.finder(pretokens.PATTERN, lambda t: [t[a:b] for _, (a, b) in pre.pre_tokenize_str(t)])])
+        special, find = held
         out = []
         for text in texts:
             words: list[str] = []
             for k, part in enumerate(special.split(text) if text and special else [text or ""]):
-                if k % 2:
-                    words.append(part)
-                elif part and not part.isascii() and odd.search(part):
-                    words += [part[a:b] for _, (a, b) in pre.pre_tokenize_str(part)]
-                elif part:
-                    words += pattern.findall(part)
+                words += [part] if k % 2 else find(part)
             out.append(words)
         return out
 
