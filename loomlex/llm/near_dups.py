@@ -4,10 +4,12 @@ A document's shingles are hashed to a ring of positions. One permutation scatter
 shifted by one step for each coordinate, gives all coordinates of the signature, so that a position's values are a
 run of consecutive entries of one table. Signatures are cut into bands, and documents that share a band meet.
 
-Documents of equal sets are one node from the start. Nodes that share a band are compared with the least node of
-the band, not with each other; links that hold join components, and only nodes of a band that are still in different
-components are then compared pair by pair. So a group of near copies costs a few comparisons a member, and no link
-between different components stays unchecked.
+Documents of equal sets are one node from the start. Of the nodes that share a band with another, shingles that no
+other such node has are counted: they bound every intersection from above, so that nodes that have too many of them,
+and pairs that can't be similar, need no comparison. The rest are compared with the node of their band that has the
+fewest, the one nearest to what they were copied from, and not with each other; links that hold join components, and
+only nodes of a band that are still in different components are then compared pair by pair. So a group of near copies
+costs a few comparisons a member, and no link between different components stays unchecked.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
@@ -157,15 +159,38 @@ def _with_key(size: int):
     return keyed
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (hub, member) of node keys those that are similar, as (a, b). Texts come from the table itself."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("hub").alias("key")).unionByName(pairs.select(F.col("member").alias("key"))).distinct()
-    wanted = runtime.materialise(wanted.join(nodes.select("key", "rep"), "key"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
+def _shingle_rows(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(size, ring_bits=8)
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = signer.shingles(words_of(text)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], ["node", "shingle"])
+
+    return rows
+
+
+def candidates(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes that may have a link, with ``own``, how many of their shingles no other candidate has (or fewer, where
+    hashes meet); and the candidates' texts by key."""
+    bands = nodes.select("key", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    some = runtime.materialise(bands.join(shared, "band").select("key").distinct().join(nodes, "key"), "candidates")
+    small = some.count() <= BROADCAST_ROWS
+    wanted = some.select("key", "rep")
     # an identifier that occurs twice may have another text: the key tells
     texts = docs.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "key").mapInArrow(_with_key(size), "text string, key binary")
-    texts = runtime.materialise(texts.dropDuplicates(["key"]), "texts")
+    texts = runtime.materialise(texts.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()), "texts")
+    rows = texts.select("node", "text").mapInArrow(_shingle_rows(size), "node long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.first("node").alias("node")).where("c = 1")
+    own = texts.select("key", "node").join(alone.groupBy("node").agg(F.count("*").alias("own")), "node").select("key", "own")
+    lively = some.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return runtime.materialise(lively.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "lively"), texts.select("key", "text")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (hub, member) of node keys those that are similar, as (a, b)."""
+    spark = pairs.sparkSession
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
     # a hub of many members is copied, so that they're shared among tasks
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -208,21 +233,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     nodes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = runtime.materialise(nodes, "nodes")
 
+    lively, texts = candidates(nodes, docs, size, percent)
     labels = links = None
     for last in (FIRST_BANDS, BANDS):
-        rows = _banded(nodes, labels, last)
-        hubs = rows.groupBy("band").agg(F.min(F.struct("label", "key", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
+        rows = _banded(lively, labels, last)
+        hubs = rows.groupBy("band").agg(F.min(F.struct("own", "key", "label", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
         pairs = rows.join(hubs.select("band", "h"), "band").where(F.col("label") != F.col("h.label"))
-        pairs = _alike(pairs.select(F.col("h.key").alias("hub"), F.col("key").alias("member"), F.col("h.n").alias("hub_n"), "n"), percent)
-        links, labels = _grown(pairs, nodes, docs, size, percent, links, labels)
+        pairs = pairs.where(_possible(F.col("n"), F.col("own"), F.col("h.n"), F.col("h.own"), percent))
+        links, labels = _grown(pairs.select(F.col("h.key").alias("hub"), F.col("key").alias("member")), texts, size, percent, links, labels)
     # what is left in a band in different components is compared pair by pair
-    rows = _banded(nodes, labels, BANDS)
+    rows = _banded(lively, labels, BANDS)
     mixed = rows.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band")
     rows = runtime.materialise(rows.join(mixed, "band"), "mixed")
-    other = rows.select("band", F.col("key").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
-    pairs = other.join(rows, "band").where("hub_label < label")
-    pairs = _alike(pairs.select("hub", F.col("key").alias("member"), "hub_n", "n"), percent)
-    links, labels = _grown(pairs, nodes, docs, size, percent, links, labels)
+    other = rows.select("band", F.col("key").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"))
+    pairs = other.join(rows, "band").where("hub_label < label").where(_possible(F.col("n"), F.col("own"), F.col("hub_n"), F.col("hub_own"), percent))
+    links, labels = _grown(pairs.select("hub", F.col("key").alias("member")), texts, size, percent, links, labels)
 
     classes = nodes.select("key", "rep")
     if labels is not None:
@@ -236,20 +261,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def _banded(nodes: DataFrame, labels: DataFrame | None, last: int) -> DataFrame:
-    """band, key, n and label: a row for each node and band."""
-    rows = nodes.select("key", "n", F.slice("bands", 1, last).alias("bands"))
+    """band, key, n, own and label: a row for each node and band."""
+    rows = nodes.select("key", "n", "own", F.slice("bands", 1, last).alias("bands"))
     rows = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")) if labels is not None else rows.withColumn("label", F.col("key"))
-    return rows.select("key", "n", "label", F.explode("bands").alias("band"))
+    return rows.select("key", "n", "own", "label", F.explode("bands").alias("band"))
 
 
-def _alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose sizes allow the similarity: an intersection is no larger than the smaller set."""
-    return runtime.materialise(pairs.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "member").distinct(), "pairs")
+def _possible(n: Column, own: Column, other_n: Column, other_own: Column, percent: int) -> Column:
+    """Whether two sets can be similar: their intersection is at most what either shares with any other."""
+    most = F.least(n - own, other_n - other_own)
+    return 100 * most >= percent * (n + other_n - most)
 
 
-def _grown(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+def _grown(pairs: DataFrame, texts: DataFrame, size: int, percent: int, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    pairs = runtime.materialise(pairs.distinct(), "pairs")
     if not pairs.limit(1).count():
         return links, labels
-    new = confirm(pairs, nodes, docs, size, percent)
+    new = confirm(pairs, texts, size, percent)
     links = new if links is None else links.unionByName(new)
     return links, components(links)
