@@ -244,9 +244,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # what is left in a band in different components is compared pair by pair
     rows = _banded(lively, labels, BANDS)
     mixed = rows.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band")
-    rows = runtime.materialise(rows.join(mixed, "band"), "mixed")
-    other = rows.select("band", F.col("key").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"))
-    pairs = other.join(rows, "band").where("hub_label < label").where(_possible(F.col("n"), F.col("own"), F.col("hub_n"), F.col("hub_own"), percent))
+    # with all bands of both at hand, a pair comes from the first that it shares and from no other
+    rows = runtime.materialise(rows.join(mixed, "band").join(lively.select("key", "bands"), "key"), "mixed")
+    other = rows.select("band", F.col("bands").alias("hub_bands"), F.col("key").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"))
+    once = F.col("band") == F.try_element_at(F.array_intersect("hub_bands", "bands"), F.lit(1))
+    pairs = other.join(rows, "band").where("hub_label < label").where(once).where(_possible(F.col("n"), F.col("own"), F.col("hub_n"), F.col("hub_own"), percent))
     links, labels = _grown(pairs.select("hub", F.col("key").alias("member")), texts, size, percent, links, labels)
 
     classes = nodes.select("key", "rep")
