@@ -17,9 +17,8 @@ SHORTLIST = CLASS_WORDS * SHORT_CLASSES
 TAIL_CLASSES = 96
 CLASSES = SHORT_CLASSES + TAIL_CLASSES
 HIDDEN = 16
-#: Tokens of a window, and of how many windows one is learnt from; states pass through all of them.
+#: Tokens of a window; every window is learnt from, and states pass on from one to the next.
 WINDOW = 16
-STRIDE = 4
 RATE = 0.05
 FLOAT = np.float32
 
@@ -92,6 +91,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _normalise(logits: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log of the chance of the place ``at`` of each row, and the rows' sums; ``logits`` become exponentials.
+    Rows are shifted only where exponentials need it."""
+    if logits.size and max(float(logits.max()), -float(logits.min())) > 60:
+        logits -= logits.max(1, keepdims=True)
+    own = logits[at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return own - np.log(total), total
+
+
 class Network:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
@@ -100,90 +110,104 @@ class Network:
     def run(self, tokens: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool):
         """States before each token of a window, and the last one; with ``keep`` also what backpropagation needs."""
         w, n = self.w, HIDDEN
-        steps, states = [], np.empty((*tokens.shape, n), FLOAT)
-        inputs = w["x"][tokens] + w["b"]
+        inputs, states = w["x"][tokens] + w["b"], np.empty((*tokens.shape, n), FLOAT)
+        # gates, candidates and what the reset gate lets through
+        kept = [np.empty((*tokens.shape, k * n), FLOAT) for k in (2, 1, 1)] if keep else []
+        fresh = first.any(1).tolist()
         for t in range(len(tokens)):
-            if first[t].any():
+            if fresh[t]:
                 h = np.where(first[t][:, None], FLOAT(0), h)
             states[t] = h
             g, x = h @ w["u"], inputs[t]
-            zr = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-            if keep:
-                steps.append((h, z, r, c, g[:, 2 * n :]))
+            x[:, : 2 * n] += g[:, : 2 * n]
+            zr = _sigmoid(x[:, : 2 * n])
+            z, r, gc = zr[:, :n], zr[:, n:], g[:, 2 * n :]
+            c = np.tanh(x[:, 2 * n :] + r * gc)
+            for whole, part in zip(kept, (zr, c, gc)):
+                whole[t] = part
             h = h + z * (c - h)
-        return states, h, steps
+        return states, h, kept
 
     def output(self, states: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None):
         """Natural log of the chance of each target: of its class and, in the shortlist, of the word in it. With
         ``grads`` the gradients are added and those of the states returned."""
         w = self.w
-        short = targets < SHORTLIST
-        cls = np.where(short, targets // CLASS_WORDS, targets - SHORTLIST + SHORT_CLASSES)
-        logits = states @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        own = logits[np.arange(len(cls)), cls]
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        out = own - np.log(total)
+        cls = np.where(targets < SHORTLIST, targets // CLASS_WORDS, targets - SHORTLIST + SHORT_CLASSES)
+        at = np.arange(len(cls)), cls
+        # a column of ones takes the biases and their gradients along in the products
+        s = np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
+        logits = s @ np.concatenate([w["wc"], w["bc"][None]])
+        out, total = _normalise(logits, at)
         back = None
         if grads is not None:
-            logits /= total[:, None]
-            logits[np.arange(len(cls)), cls] -= 1
-            grads["wc"] += states.T @ logits
-            grads["bc"] += logits.sum(0)
+            logits *= (1 / total)[:, None]
+            logits[at] -= 1
+            g = s.T @ logits
+            grads["wc"] += g[:-1]
+            grads["bc"] += g[-1]
             back = logits @ w["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(SHORT_CLASSES + 1))
-        for k in range(SHORT_CLASSES):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if not len(rows):
-                continue
-            s, word = states[rows], targets[rows] - k * CLASS_WORDS
-            inner = s @ w["wv"][k].T + w["bv"][k]
-            inner -= inner.max(1, keepdims=True)
-            mine = inner[np.arange(len(rows)), word]
-            np.exp(inner, out=inner)
-            total = inner.sum(1)
-            out[rows] += mine - np.log(total)
-            if grads is not None:
-                inner /= total[:, None]
-                inner[np.arange(len(rows)), word] -= 1
-                grads["wv"][k] += inner.T @ s
-                grads["bv"][k] += inner.sum(0)
-                back[rows] += inner @ w["wv"][k]
+        # rows by class, so that a class's words are one product; 16 bits are sorted by radix
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(SHORT_CLASSES + 1)).tolist()
+        order = order[: cuts[-1]]
+        some = [(k, cuts[k], cuts[k + 1]) for k in range(SHORT_CLASSES) if cuts[k] < cuts[k + 1]]
+        if not some:
+            return out, back
+        s, at = s[order], (np.arange(len(order)), targets[order] % CLASS_WORDS)
+        inner = np.empty((len(order), CLASS_WORDS), states.dtype)
+        words = np.concatenate([w["wv"], w["bv"][..., None]], 2)
+        for k, i, j in some:
+            np.matmul(s[i:j], words[k].T, out=inner[i:j])
+        mine, total = _normalise(inner, at)
+        out[order] += mine
+        if grads is not None:
+            inner *= (1 / total)[:, None]
+            inner[at] -= 1
+            more = np.empty((len(order), HIDDEN), states.dtype)
+            for k, i, j in some:
+                g = inner[i:j].T @ s[i:j]
+                grads["wv"][k] += g[:, :-1]
+                grads["bv"][k] += g[:, -1]
+                np.matmul(inner[i:j], w["wv"][k], out=more[i:j])
+            back[order] += more
         return out, back
 
     def learn(self, tokens: np.ndarray, first: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One window of backpropagation; returns the state after it."""
         w, n = self.w, HIDDEN
-        states, last, steps = self.run(tokens, first, h, True)
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        states, last, (zr, c, gc) = self.run(tokens, first, h, True)
+        grads = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
         flat, mask = states.reshape(-1, n), real.reshape(-1)
         back = np.zeros_like(flat)
         _, back[mask] = self.output(flat[mask], tokens.reshape(-1)[mask], grads)
         back = back.reshape(states.shape)
-        dh, dx = np.zeros_like(h), np.empty((*tokens.shape, 3 * n), FLOAT)
+        z, r = zr[..., :n], zr[..., n:]
+        stay = 1 - z
+        to_z, to_c = (c - states) * z * stay, z * (1 - c * c)
+        to_r = gc * r * (1 - r)
+        dh, dx, dg = np.zeros_like(h), np.empty((*tokens.shape, 3 * n), FLOAT), np.empty((*tokens.shape, 3 * n), FLOAT)
+        out, fresh = np.ascontiguousarray(w["u"].T), first.any(1).tolist()
         for t in range(len(tokens) - 1, -1, -1):
-            was, z, r, c, gc = steps[t]
-            dc = dh * z * (1 - c * c)
-            dx[t, :, :n] = dh * (c - was) * z * (1 - z)
-            dx[t, :, n : 2 * n] = dc * gc * r * (1 - r)
+            dc = dh * to_c[t]
+            np.multiply(dh, to_z[t], out=dg[t, :, :n])
+            np.multiply(dc, to_r[t], out=dg[t, :, n : 2 * n])
+            np.multiply(dc, r[t], out=dg[t, :, 2 * n :])
             dx[t, :, 2 * n :] = dc
-            dg = dx[t].copy()
-            dg[:, 2 * n :] *= r
-            grads["u"] += was.T @ dg
-            dh = dh * (1 - z) + dg @ w["u"].T + back[t]
-            if first[t].any():
+            dh = dh * stay[t] + dg[t] @ out
+            dh += back[t]
+            if fresh[t]:
                 dh[first[t]] = 0
-        flat, dx = tokens.reshape(-1), dx.reshape(-1, 3 * n)
-        order = np.argsort(flat, kind="stable")
-        some, at = np.unique(flat[order], return_index=True)
+        dx[..., : 2 * n] = dg[..., : 2 * n]
+        grads["u"] += flat.T @ dg.reshape(-1, 3 * n)
+        dx = dx.reshape(-1, 3 * n)
+        flat = tokens.reshape(-1)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        ranked = flat[order]
+        at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        some = ranked[at]
         grads["b"] = dx.sum(0)
         rows = np.add.reduceat(dx[order], at, axis=0)
         scale = FLOAT(1 / max(1, mask.sum()))
-        del grads["x"]
         for k, g in grads.items():
             g *= scale
             self.seen[k] += g * g
@@ -195,17 +219,13 @@ class Network:
 
 
 def train(network: Network, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 128) -> None:
-    """One pass over whole documents. Windows that aren't learnt from still carry the states on."""
+    """One pass over whole documents; every token is in one window of backpropagation."""
     if not len(lengths) or not lengths.sum():
         return
     streams = Streams(tokens, starts, lengths, most, 6000)
     h = np.zeros((streams.tokens.shape[1], HIDDEN), FLOAT)
-    for k, (t, first, place) in enumerate(streams.windows()):
-        h = h[: t.shape[1]]
-        if k % STRIDE == 0:
-            h = network.learn(t, first, place >= 0, h)
-        else:
-            _, h, _ = network.run(t, first, h, False)
+    for t, first, place in streams.windows():
+        h = network.learn(t, first, place >= 0, h[: t.shape[1]])
 
 
 def score(network: Network, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 256) -> np.ndarray:

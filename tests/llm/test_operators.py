@@ -324,6 +324,31 @@ def test_gradients():
         gru.FLOAT = was
 
 
+def test_every_training_token_is_learnt_from():
+    learnt = Counter()
+
+    class Recorder(gru.Network):
+        def learn(self, tokens, first, real, h):
+            learnt.update(tokens[real].tolist())
+            return super().learn(tokens, first, real, h)
+
+    lengths = np.array([90, 20, 1, 33, 47])
+    starts = np.cumsum(lengths) - lengths
+    tokens = np.arange(lengths.sum(), dtype=np.int32)  # each its own word
+    net = Recorder(gru.start(np.ones(gru.SHORTLIST), np.ones(gru.TAIL_CLASSES)))
+    gru.train(net, tokens, starts, lengths, most=2)
+    assert learnt == Counter(tokens.tolist())
+
+
+def test_large_weights_keep_chances_proper():
+    net = gru.Network(gru.start(np.ones(gru.SHORTLIST), np.ones(gru.TAIL_CLASSES)))
+    net.w["wc"] *= 5000
+    net.w["wv"] *= 5000
+    every = np.arange(gru.SHORTLIST + gru.TAIL_CLASSES)
+    out, _ = net.output(np.ones((len(every), gru.HIDDEN), gru.FLOAT), every, None)
+    assert np.isfinite(out).all() and abs(np.exp(out.astype(float)).sum() - 1) < 1e-3
+
+
 def test_lm_scores(spark):
     rng = random.Random(2)
     rows = [(k, " ".join(speech(rng, rng.choice(["en", "fr"])).upper() for _ in range(4))) for k in range(120)] + AWKWARD
