@@ -30,12 +30,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates by five words; of each component the document of the smallest identifier stays, and documents
-    without words, which are linked with nothing, all do."""
+    """Near-duplicates by five words; of each component the document of the smallest identifier stays, one without an
+    identifier only where none has one; documents without words, which are linked with nothing, all do."""
     rows = _rows(docs)
     found = near_dups.near_duplicates(rows, row_col=ROW)
     alone = found.where("n_shingles = 0").select("row")
-    least = found.where("n_shingles > 0 and id <=> component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row")
+    best = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+    least = found.where("n_shingles > 0").groupBy("component").agg(best.alias("best")).select("best.row")
     return rows.join(alone.unionByName(least).withColumnRenamed("row", ROW), ROW, "left_semi").drop(ROW)
 
 

@@ -219,7 +219,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """id, row (what ``row_col`` holds, or null), n_shingles and component_id (the least identifier that links reach, the row's own included) of every row.
+    """id, row (what ``row_col`` holds, or null), n_shingles, component_id (the least identifier that links reach, the row's own included) and component (a key that
+    tells components apart whatever their identifiers, null where a text has no shingle) of every row.
 
     Two documents are linked when 100 * intersection >= percent * union of their sets of ``size``-word shingles. A text
     of fewer words is one shingle; a null or empty one, or one of white space, has none and is linked with nothing.
@@ -255,11 +256,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     if labels is not None:
         joined = classes.join(labels, "key")
         least = joined.groupBy("label").agg(F.min("rep").alias("least"))
-        least = joined.join(least, "label").select("key", "least")
-        classes = classes.join(least, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
+        least = joined.join(least, "label").select("key", "label", "least")
+        classes = classes.join(least, "key", "left").select("key", F.coalesce("label", "key").alias("component"), F.coalesce("least", "rep").alias("component_id"))
     else:
-        classes = classes.withColumnRenamed("rep", "component_id")
-    return signed.select("id", "row", "n", "key").join(classes, "key", "left").select("id", "row", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        classes = classes.select("key", F.col("key").alias("component"), F.col("rep").alias("component_id"))
+    component_id = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    return signed.select("id", "row", "n", "key").join(classes, "key", "left").select("id", "row", F.col("n").alias("n_shingles"), component_id, "component")
 
 
 def _banded(nodes: DataFrame, labels: DataFrame | None, last: int) -> DataFrame:

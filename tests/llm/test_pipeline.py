@@ -41,3 +41,13 @@ def test_stages(spark, tmp_path):
 
 def test_imports_are_direct():
     assert corpus_pipeline.STAGES and len(corpus_pipeline.STAGES) == 5 and mixing and near_dups
+
+
+def test_near_copies_keeps_one_of_each_component(spark, tmp_path):
+    """Unrelated texts without an identifier, and unlike texts of one identifier, are components of their own."""
+    text = lambda k: " ".join(f"{'abcdefgh'[k]}{j}" for j in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1) + " more"), (7, text(2)), (7, text(3)), (7, text(3) + " more"), (None, text(4)), (9, text(4) + " more"), (8, text(4))]
+    table(spark, rows).write.parquet(str(tmp_path / "docs"))
+    after = corpus_pipeline.near_copies(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path)).collect()
+    assert sorted(r["text"][0] for r in after) == ["a", "b", "c", "d", "e"]
+    assert [(r["doc_id"], r["text"]) for r in after if r["text"][0] == "e"] == [(8, text(4))]
