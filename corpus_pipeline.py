@@ -14,7 +14,8 @@ ROW = "loomlex_row"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """Numbered and written, so that a later scan, however it is divided, finds each row under its number."""
+    return runtime.materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

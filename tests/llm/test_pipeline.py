@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 from loomlex.llm import langid, mixing, near_dups
 
@@ -51,3 +53,24 @@ def test_near_copies_keeps_one_of_each_component(spark, tmp_path):
     after = corpus_pipeline.near_copies(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path)).collect()
     assert sorted(r["text"][0] for r in after) == ["a", "b", "c", "d", "e"]
     assert [(r["doc_id"], r["text"]) for r in after if r["text"][0] == "e"] == [(8, text(4))]
+
+
+@pytest.mark.parametrize("stage", ["exact_copies", "near_copies", "mixture"])
+def test_decisions_hold_when_files_are_divided_anew(spark, tmp_path, stage):
+    """Between a stage's decisions and its last scan the files may be dealt to other tasks."""
+    text = lambda k: " ".join(f"{'abcdefghij'[k]}{j}" for j in range(30))
+    for k in range(10):
+        table(spark, [(k, text(k), "en", "a"), (100 + k, text(k), "en", "a")]).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs, run = spark.read.parquet(str(tmp_path / "docs")), dict(corpus_pipeline.STAGES)[stage]
+    want = sorted(r["doc_id"] for r in run(spark, docs, str(tmp_path)).collect())
+    assert stage == "mixture" or want == list(range(10))
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    try:
+        spark.conf.set(names[0], "0")
+        spark.conf.set(names[1], "1")
+        later = run(spark, docs, str(tmp_path))
+        spark.conf.set(names[0], str(1 << 30))
+        assert sorted(r["doc_id"] for r in later.collect()) == want
+    finally:
+        for name in names:
+            spark.conf.unset(name)
