@@ -27,6 +27,8 @@ MEASURES = 7
 DIMS = (1 << BITS) + RANGES * MEASURES
 #: Rated rows that the weights are fit on.
 SAMPLE_ROWS = 12000
+#: Bound on distinct grades; more are an error, not a cut.
+MAX_GRADES = 1000
 SHAPE = 0.5
 
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -122,11 +124,14 @@ def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, ratings: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on documents with a rating. ratings: id and grade (whole numbers; nulls don't count, a document rated more
-    than once counts with each rating); ``trains`` is over the column ``id``. None where nothing is rated."""
+    than once counts with each rating); ``trains`` is over the column ``id``. None where nothing is rated; over
+    ``MAX_GRADES`` distinct grades are an error."""
     spark = docs.sparkSession
     runtime.prepare(spark)
     rated = ratings.select(F.col("id").cast("long"), F.col("grade").cast("int")).where("id is not null and grade is not null").where(trains)
-    counts = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).limit(1000).collect()}
+    counts = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).limit(MAX_GRADES + 1).collect()}
+    if len(counts) > MAX_GRADES:
+        raise ValueError(f"over {MAX_GRADES} distinct grades; raise MAX_GRADES if the driver can hold them")
     if not counts:
         return None
     # an equal share for every grade, as far as it has rows: by a bound on the hash, then the smallest hashes

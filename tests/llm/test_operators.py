@@ -390,3 +390,9 @@ def test_quality(spark):
     assert quality.grade(table(spark, AWKWARD), model, 2).count() == len(AWKWARD)
     assert quality.grade(table(spark, AWKWARD), None, 2).where("not kept").count() == 0
     assert quality.train(docs, ratings.limit(0), F.lit(True)) is None
+
+
+def test_too_many_grades_are_an_error(spark):
+    ratings = spark.range(1001).select("id", F.col("id").cast("int").alias("grade"))
+    with pytest.raises(ValueError, match="distinct grades"):
+        quality.train(table(spark, AWKWARD), ratings, F.lit(True))
