@@ -52,13 +52,32 @@ def _flat(condition) -> list:
     return [condition]
 
 
+def longest_runs(tokens: DataFrame, pattern: bcql.Pattern, scope: str) -> dict:
+    """How often each open repetition of a pattern can follow on itself in a document, or in a sentence where hits
+    stay in one: the longest run of tokens that a repeated token matches, and for groups the number of tokens."""
+    parts = bcql.open_parts(pattern.root)
+    if not parts:
+        return {}
+    keys = ["doc_id", "sent_id"] if scope == "sentence" or pattern.sentence else ["doc_id"]
+    columns, order = {c: F.col(c) for c in tokens.columns}, Window.partitionBy(*keys).orderBy("pos")
+    tests = [condition_column(p.condition, columns) if isinstance(p, bcql.Token) else F.lit(True) for p in parts]
+    rows = tokens.select(*keys, "pos", *[t.alias(f"c{k}") for k, t in enumerate(tests)])
+    longest = {}
+    for k, part in enumerate(parts):
+        runs = rows.select(*keys, f"c{k}", F.sum(F.when(F.col(f"c{k}"), 0).otherwise(1)).over(order).alias("run")).where(f"c{k}")
+        longest[part] = runs.groupBy(*keys, "run").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
+    return longest
+
+
 def matches(tokens: DataFrame, patterns: Mapping[str, bcql.Pattern | str], scope: str = "doc", carry: tuple[str, ...] = ("lemma", "xpos")) -> DataFrame:
     """Hits of all patterns: rel, doc_id, start, end (exclusive), and for the labels 1, 2 and 3 their position and
     ``carry``ed annotations (pos_1, lemma_1, xpos_1, ...), null where a pattern lacks the label. A hit that several
-    forms of a pattern give counts once. scope: ``doc`` lets hits cross sentences, ``sentence`` doesn't.
+    forms of a pattern give counts once. scope: ``doc`` lets hits cross sentences, ``sentence`` doesn't. An open
+    repetition reaches as far as the tokens go, for which they are read once more; a pattern that then has too many
+    forms is a PatternError.
     """
     parsed = {k: bcql.parse(p) if isinstance(p, str) else p for k, p in patterns.items()}
-    forms = {k: bcql.variants(p) for k, p in parsed.items()}
+    forms = {k: bcql.variants(p, longest_runs(tokens, p, scope)) for k, p in parsed.items()}
     bits: dict = {}
     for vs in forms.values():
         for v in vs:

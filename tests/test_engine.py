@@ -247,3 +247,16 @@ def test_entry_without_the_llm_folders():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
     assert out.returncode == 0 and out.stdout.split() and min(map(int, out.stdout.split())) > 30, out.stderr
+
+
+@pytest.mark.parametrize("pattern, hits", [('"a" "b"* "c"', 1), ('"b"+', 78), ('"b"{2,}', 66), ('"a" ("b" "b")+ "c"', 1), ('"a" []* "c" within <s/>', 1), ('"x"* "c"', 2)])
+def test_open_repetition_is_not_cut(spark, pattern, hits):
+    rows = [(1, k, 1, w, "X") for k, w in enumerate(["a", *["b"] * 12, "c"])] + [(2, k, 1, w, "X") for k, w in enumerate(["c", "a"])]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, sent_id int, lemma string, xpos string")
+    assert matching.matches(tokens, {"q": pattern}).count() == hits
+
+
+def test_open_repetition_over_the_bound_is_an_error(spark):
+    tokens = spark.createDataFrame([(1, k, 1, "b", "X") for k in range(bcql.MAX_VARIANTS + 9)], "doc_id long, pos int, sent_id int, lemma string, xpos string")
+    with pytest.raises(bcql.PatternError):
+        matching.matches(tokens, {"q": '"b"*'})
