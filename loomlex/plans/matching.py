@@ -74,9 +74,13 @@ def matches(tokens: DataFrame, patterns: Mapping[str, bcql.Pattern | str], scope
     ``carry``ed annotations (pos_1, lemma_1, xpos_1, ...), null where a pattern lacks the label. A hit that several
     forms of a pattern give counts once. scope: ``doc`` lets hits cross sentences, ``sentence`` doesn't. An open
     repetition reaches as far as the tokens go, for which they are read once more; a pattern that then has too many
-    forms is a PatternError.
+    forms is a PatternError. A pattern of two tokens and an arrow between them gives the span from one to the other.
     """
     parsed = {k: bcql.parse(p) if isinstance(p, str) else p for k, p in patterns.items()}
+    arrows = [arrow_matches(tokens, k, p, carry) for k, p in parsed.items() if bcql.arrow_of(p)]
+    parsed = {k: p for k, p in parsed.items() if not bcql.arrow_of(p)}
+    if not parsed and arrows:
+        return reduce(DataFrame.unionByName, arrows)
     forms = {k: bcql.variants(p, longest_runs(tokens, p, scope)) for k, p in parsed.items()}
     bits: dict = {}
     for vs in forms.values():
@@ -132,7 +136,30 @@ def matches(tokens: DataFrame, patterns: Mapping[str, bcql.Pattern | str], scope
                 test &= (a == b) if g.equal else (a != b)
             found.append(F.when(test, hit(name, length, places)))
     hits = rows.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("h"))
-    return hits.select("doc_id", "h.*")
+    return reduce(DataFrame.unionByName, arrows, hits.select("doc_id", "h.*"))
+
+
+def arrow_matches(tokens: DataFrame, name: str, pattern: bcql.Pattern, carry: tuple[str, ...] = ("lemma", "xpos")) -> DataFrame:
+    """Hits of a pattern of two tokens with a dependency arrow between them, with the columns of ``matches``."""
+    left, arrow, right = bcql.arrow_of(pattern)
+    lacking = {"head", "deprel", "wordnum"} - set(tokens.columns)
+    if lacking:
+        raise bcql.PatternError(f"no annotation {min(lacking)!r}")
+    columns = {c: F.col(c) for c in tokens.columns}
+    agreeing = [a for g in pattern.agreements for a in (g.left_name, g.right_name)]
+    kept = list(dict.fromkeys([*carry, *sorted(agreeing)]))
+    flagged = tokens.withColumns({"is_left": condition_column(left.condition, columns), "is_right": condition_column(right.condition, columns)})
+    pairs = dependency_pairs(flagged, arrow.relation, (*kept, "is_left", "is_right"))
+    # dependency_pairs has heads under 1 and children under 2
+    first, second = ("2", "1") if arrow.child_first else ("1", "2")
+    pairs = pairs.where(f"is_left_{first} and is_right_{second}")
+    places = {t.label: side for t, side in ((left, first), (right, second)) if t.label}
+    for g in pattern.agreements:
+        a, b = (F.lower(F.col(f"{n}_{places[x]}")) for x, n in ((g.left, g.left_name), (g.right, g.right_name)))
+        pairs = pairs.where((a == b) if g.equal else (a != b))
+    kinds = dict(tokens.dtypes)
+    labelled = [(F.col(f"{a}_{places[x]}") if x in places else F.lit(None)).cast(kinds[a]).alias(f"{a}_{x}") for x in ("1", "2", "3") for a in ("pos", *carry)]
+    return pairs.select("doc_id", F.lit(name).alias("rel"), F.least("pos_1", "pos_2").alias("start"), (F.greatest("pos_1", "pos_2") + 1).alias("end"), *labelled)
 
 
 def dependency_pairs(tokens: DataFrame, deprel: str, carry: tuple[str, ...] = ("lemma", "xpos")) -> DataFrame:

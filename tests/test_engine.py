@@ -260,3 +260,19 @@ def test_open_repetition_over_the_bound_is_an_error(spark):
     tokens = spark.createDataFrame([(1, k, 1, "b", "X") for k in range(bcql.MAX_VARIANTS + 9)], "doc_id long, pos int, sent_id int, lemma string, xpos string")
     with pytest.raises(bcql.PatternError):
         matching.matches(tokens, {"q": '"b"*'})
+
+
+def test_dependency_arrows(corpus):
+    columns = ("start", "end", "lemma_1", "lemma_2")
+    pairs = got(matching.dependency_pairs(corpus.tokens, "amod"), "lemma_1", "lemma_2")
+    hits = matching.matches(corpus.tokens, {"q": "1:[] -amod-> 2:[]"})
+    assert pairs and got(hits, "lemma_1", "lemma_2") == pairs
+    assert got(matching.matches(corpus.tokens, {"q": "2:[] <amod 1:[]"}), *columns) == got(hits, *columns)
+    assert got(matching.matches(corpus.tokens, {"q": '1:[lemma="suggest"] -obj-> 2:[]'}), *columns) == [(2, 5, "suggest", "model")]
+    assert matching.matches(corpus.tokens, {"q": '[lemma="suggest"] -obj-> [lemma="theory"]'}).count() == 0
+    both = matching.matches(corpus.tokens, {"q": '1:[lemma="suggest"] -obj-> _', "p": '1:[lemma="suggest"]'})
+    assert got(both, "rel", "lemma_1") == [("p", "suggest"), ("q", "suggest")]
+    assert K.count(corpus, "[] -amod-> []") == len(pairs)
+    assert K.bcql_page(corpus, '1:[lemma="suggest"] -obj-> 2:[]')["total"] == 1
+    with pytest.raises(bcql.PatternError):
+        matching.matches(corpus.tokens, {"q": "[] -amod-> [] []"})
