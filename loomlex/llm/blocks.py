@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,13 +118,23 @@ def word_rows(blocks: DataFrame) -> DataFrame:
     return rows.select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
 
 
+#: A word's rows are dealt anew for every so many blocks, so that a word of all blocks is not one task's.
+SALT_BLOCKS = 1 << 16
+
+
+def salted(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with a column salt: one value as long as there are at most SALT_BLOCKS blocks."""
+    salts = -(-blocks.count() // SALT_BLOCKS)
+    return rows.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int") if salts > 1 else F.lit(0))
+
+
 #: Rows of values that a task holds before it packs them by block.
 PACK_ROWS = 1 << 20
 
 
 def packer(names: list[str]):
     """A mapInArrow function from rows of (block, place, *names) to a row of packed arrays for each block: places in
-    order, so that they pack to a byte or two, and numbers or binaries in the order of the places."""
+    order, so that they pack to a byte or two, and numbers or lists of numbers in the order of the places."""
 
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -147,10 +158,9 @@ def packer(names: list[str]):
             arrays = {"place": np.diff(t.column("place").slice(a, e - a).to_numpy().astype(np.int32), prepend=np.int32(0))}
             for n in names:
                 column = t.column(n).slice(a, e - a)
-                if pa.types.is_binary(column.type):
-                    values = column.to_pylist()
-                    arrays[f"{n} lengths"] = np.array([len(v) for v in values], np.int32)
-                    arrays[f"{n} bytes"] = np.frombuffer(b"".join(values), np.uint8)
+                if pa.types.is_list(column.type):
+                    arrays[f"{n} lengths"] = pc.list_value_length(column).to_numpy()
+                    arrays[f"{n} values"] = pc.list_flatten(column).to_numpy()
                 else:
                     arrays[n] = column.to_numpy()
             data.append(pack(**arrays))
@@ -161,7 +171,7 @@ def packer(names: list[str]):
 
 def by_block(blocks: DataFrame, buckets: int, values: DataFrame, apply: Callable[[dict, dict], pa.Table], schema: str) -> DataFrame:
     """``apply`` of every block's arrays and of its values: arrays by the names of the columns of ``values`` (block,
-    place and more), in the order of the places 0, 1, ...; binaries as lists. A block has a bounded number of bytes,
+    place and more), in the order of the places 0, 1, ...; lists as their lengths and their values. A block has a bounded number of bytes,
     and so has what meets in one call."""
     names = [c for c in values.columns if c not in ("block", "place")]
 
@@ -174,10 +184,10 @@ def by_block(blocks: DataFrame, buckets: int, values: DataFrame, apply: Callable
             if parts and n in parts[0]:
                 found[n] = np.concatenate([p[n] for p in parts])[order]
             elif parts:
-                ends = [np.cumsum(p[f"{n} lengths"]) for p in parts]
-                raw = [p[f"{n} bytes"].tobytes() for p in parts]
-                flat = [r[a:e] for r, es in zip(raw, ends) for a, e in zip([0, *es[:-1].tolist()], es.tolist())]
-                found[n] = [flat[k] for k in order.tolist()]
+                lengths, values = (np.concatenate([p[f"{n} {what}"] for p in parts]) for what in ("lengths", "values"))
+                starts, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order].astype(np.int64)
+                shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+                found[n] = lengths, values[np.arange(len(shift)) + shift]
             else:
                 found[n] = np.zeros(0, np.int64)
         return pa.concat_tables([apply(unpack(payload), found) for payload in left.column("payload").to_pylist()])

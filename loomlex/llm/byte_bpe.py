@@ -1,9 +1,14 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-Each distinct pre-token of the corpus is encoded once: a fold over its byte array merges the adjacent pair of the
-lowest rank, leftmost first, until no pair has a rank. Ranks stand in one literal, an array of small maps by hash,
-so that a lookup doesn't scan the vocabulary. Documents get the ids of their words by blocks; decoding concatenates
-the ids' binary pieces.
+Each distinct pre-token of the corpus is encoded once (once for every SALT_BLOCKS blocks): a fold over its byte array
+merges the adjacent pair of the lowest rank, leftmost first, until no pair has a rank. The rank map is one literal, in
+which a pair of pieces stands in one of two places, so that a lookup reads two entries of the vocabulary at most.
+Documents get the ids of their words by blocks; decoding concatenates the ids' binary pieces.
+
+A fold copies its arrays once for each merge. So a long word is folded in overlapping windows, which are put together
+at pieces that neighbours share. That is exact: merges within a stretch of text depend on the stretch alone until one
+crosses its border, so pieces are a text's encoding if and only if every two neighbours among them are the encoding
+of what they spell; and of two encodings joined at a shared piece, every two neighbours are neighbours in one of them.
 """
 
 from __future__ import annotations
@@ -15,7 +20,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,12 +27,10 @@ from pyspark.sql.window import Window
 from . import blocks as B
 from . import pretokens
 
-#: Maps over which the rank literal is dealt: a few entries each.
-MAPS = 32768
-#: The seed of Spark's xxhash64.
-HASH_SEED = 42
-#: Stands for a pair without a rank; above every rank.
-NONE = 2**31 - 1
+#: Bits of a rank in the literal of pairs.
+RANK_BITS = 20
+#: A length beyond every word.
+ALL = 1 << 28
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,53 +39,132 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in f if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """Ranks as one literal of type array<map<string, int>>: pieces in hexadecimal, dealt to maps by their hash. JSON
-    is the public way to a literal of this size; Catalyst folds it once, when it plans."""
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        maps[xxhash.xxh64_intdigest(key.encode(), HASH_SEED) % MAPS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+def _next_prime(n: int) -> int:
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+class Literals:
+    """What the fold looks up, as literals of type array<long>. JSON is the public way to literals of this size;
+    Catalyst folds them once, when it plans."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        #: Bits of a rank where a word's pieces are held; the highest number of so many bits is no rank.
+        self.bits = (max(ranks.values()) + 1).bit_length()
+        if self.bits > RANK_BITS:
+            raise ValueError(f"ranks of more than {RANK_BITS} bits")
+        missing = [b for b in range(256) if bytes([b]) not in ranks]
+        if missing:
+            raise ValueError(f"bytes without a rank: {missing[:5]}")
+        pairs = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[(left << RANK_BITS) + right] = rank
+        size = max(1000, 2 * len(pairs))
+        while True:  # a larger table where no arrangement is found
+            self.primes = (a := _next_prime(size)), _next_prime(a + size // 8)
+            self.pairs = self._placed(pairs)
+            if self.pairs:
+                break
+            size = size * 5 // 4
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        #: Windows of a long word overlap by two of the longest pieces.
+        self.overlap = max(64, 2 * max(map(len, ranks)))
+
+    def _placed(self, pairs: dict[int, int]) -> list[int] | None:
+        """Each pair in one of its two places: who is displaced goes to the other."""
+        table: list[int | None] = [None] * max(self.primes)
+        for key in pairs:
+            turn = 0
+            for _ in range(500):
+                at = key % self.primes[turn]
+                key, table[at] = table[at], key
+                if key is None:
+                    break
+                turn = 1 if key % self.primes[0] == at else 0
+            else:
+                return None
+        return [-1 if k is None else (k << RANK_BITS) + pairs[k] for k in table]
+
+    def column(self, values: list[int]) -> Column:
+        return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<long>")
+
+
+def _one(value: Column) -> Column:
+    """An array of one value; this function is evaluated much faster than the one that takes any number."""
+    return F.array_repeat(value, 1)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(_one(value), body), 1)
+
 
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
-def encode_word(word: Column, literal: Column) -> Column:
-    """The ids of one pre-token, an array<int>; an empty one has none. Bytes are in hexadecimal throughout."""
-    return _let(literal, lambda maps: _encode(word, maps))
 
+def encode_word(word: Column, literals: Literals) -> Column:
+    """The ids of one pre-token, an array<int>; an empty one has none."""
+    # one character for each byte
+    letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    ids = lambda held: F.when(F.length(letters) > 0, F.transform(F.split(letters, ""), lambda c: F.get(held, F.ascii(c)))).otherwise(F.array().cast("array<long>"))
+    return _let(literals.column(literals.bytes), lambda held: _let(ids(held), lambda i: _let(literals.column(literals.pairs), lambda pairs: _encode(i, pairs, literals))))
 
-def _encode(word: Column, maps: Column) -> Column:
-    # the hash as an unsigned number modulo a power of two: its low bits
-    rank = lambda piece: F.coalesce(F.try_element_at(F.element_at(maps, (F.xxhash64(piece).bitwiseAND(F.lit(MAPS - 1)) + 1).cast("int")), piece), F.lit(NONE))
-    raw = F.hex(F.encode(word, "UTF-8"))
-    count = (F.length(raw) / 2).cast("int")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    symbols = F.transform(upto(count), lambda i: F.substring(raw, i * 2 - 1, F.lit(2)))
-    start = _let(symbols, lambda s: F.struct(s.alias("s"), F.transform(upto(F.size(s) - 1), lambda i: rank(F.concat(F.element_at(s, i), F.element_at(s, i + 1)))).alias("r")))
 
-    def merge(held: Column, j: Column) -> Column:
-        s, r, n = held["s"], held["r"], F.size(held["s"])
-        none = F.array().cast("array<int>")
+def _encode(ids: Column, pairs: Column, literals: Literals) -> Column:
+    """A piece is held as one number: the rank of its pair with the next piece, where it starts, and its id. So the
+    least number is the pair of the lowest rank, the leftmost of those."""
+    bits, starts = literals.bits, 62 - 2 * literals.bits
+    long = lambda n: F.lit(n).cast("long")
+    none, id_mask, low_mask = long((1 << bits) - 1), long((1 << bits) - 1), long((1 << bits + starts) - 1)
+    top = long(1 << bits + starts)
+    last = (1 << bits) - 1 << bits + starts
+    pad = long(last + (1 << bits) - 1)
 
-        def joined(piece: Column) -> Column:
-            left = F.when(j > 1, F.array(rank(F.concat(F.element_at(s, j - 1), piece)))).otherwise(none)
-            right = F.when(j + 1 < n, F.array(rank(F.concat(piece, F.element_at(s, j + 2))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(s, 1, j - 1), F.array(piece), F.slice(s, j + 2, n)).alias("s"),
-                F.concat(F.when(j > 2, F.slice(r, 1, j - 2)).otherwise(none), left, right, F.slice(r, j + 2, n)).alias("r"),
-            )
+    def rank(key: Column) -> Column:
+        """Of a pair, its left piece above RANK_BITS bits."""
+        places = [F.get(pairs, (key % long(p)).cast("int")) for p in literals.primes]
+        return F.coalesce(*[F.when(F.shiftright(v, RANK_BITS) == key, v.bitwiseAND(long((1 << RANK_BITS) - 1))) for v in places], none)
 
-        return _let(F.concat(F.element_at(s, j), F.element_at(s, j + 1)), joined)
+    pair = lambda left, right: left * long(1 << RANK_BITS) + right
+    above = lambda left, right: _let(pair(left, right), rank) * top
+
+    def merge(held: Column, low: Column, j: Column) -> Column:
+        new = F.shiftright(low, bits + starts)
+        before = _let(F.element_at(held, j - 1), lambda x: above(x.bitwiseAND(id_mask), new) + x.bitwiseAND(low_mask))
+        own = above(new, F.element_at(held, j + 2).bitwiseAND(id_mask)) + low.bitwiseAND(low_mask - id_mask) + new
+        return F.concat(F.slice(held, 1, j - 2), _one(before), _one(own), F.slice(held, j + 2, F.lit(ALL)))
 
     def step(held: Column, _: Column) -> Column:
-        return _let(F.array_min(held["r"]), lambda low: F.when(F.coalesce(low < NONE, F.lit(False)), _let(F.array_position(held["r"], low).cast("int"), lambda j: merge(held, j))).otherwise(held))
+        return _let(F.array_min(held), lambda low: F.when(low < long(last), _let(F.array_position(held, low).cast("int"), lambda j: merge(held, low, j))).otherwise(held))
+
+    def fold(ids: Column) -> Column:
+        """The pieces of a word, without ranks."""
+        start = F.transform(ids, lambda x, k: above(x, F.coalesce(F.get(ids, k + 1), none)) + k * long(1 << bits) + x)
+        whole = F.aggregate(_upto(F.size(ids) - 1), F.concat(_one(pad), start, _one(pad)), step)
+        return _let(whole, lambda p: F.transform(F.slice(p, 2, F.size(p) - 2), lambda x: x.bitwiseAND(low_mask)))
+
+    def in_windows(ids: Column) -> Column:
+        """Null where two neighbouring windows share no piece."""
+        over = literals.overlap
+        window = lambda k: F.transform(fold(F.slice(ids, k * over + 1, F.lit(2 * over))), lambda x: x + k * long(over << bits))
+        windows = F.transform(_upto(F.ceil((F.size(ids) - over) / over).cast("int")), lambda k: window(k - 1))
+
+        def joined(w: Column) -> Column:
+            # the first piece that a window shares with the next is where it ends
+            ends = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.get(F.array_intersect(a, b), F.lit(0)))
+            ends = F.concat(_one(long(-1)), ends, _one(long(2**62)))
+            cut = lambda e: F.flatten(F.transform(w, lambda x, k: F.filter(x, lambda t: (t > F.element_at(e, k + 1)) & (t <= F.element_at(e, k + 2)))))
+            return _let(ends, lambda e: F.when(~F.exists(e, lambda x: x.isNull()), cut(e)))
+
+        return _let(windows, joined)
 
-    return F.transform(F.aggregate(upto(count - 1), start, step)["s"], rank)
+    found = F.when(F.size(ids) <= 2 * literals.overlap, fold(ids)).otherwise(F.coalesce(in_windows(ids), fold(ids)))
+    return F.transform(found, lambda x: x.bitwiseAND(id_mask).cast("int"))
 
 
 def split_by(pattern: str) -> Callable[[list], list[list[str]]]:
@@ -98,40 +179,40 @@ def split_by(pattern: str) -> Callable[[list], list[list[str]]]:
 
 
 def encode_blocks(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """block, place and ids (four bytes each) of each distinct word of a block; a word is encoded once,
-    at the first of its rows, and the rest of them take it from there."""
-    literal = rank_literal(ranks)
-    rows = B.word_rows(blocks).select("word", "block", "place")
-    same = Window.partitionBy("word").orderBy("block")
+    """block, place and ids of each distinct word of a block; a word is encoded at the first of its rows, and the rest
+    of them take it from there."""
+    rows = B.salted(blocks, B.word_rows(blocks).select("word", "block", "place"))
+    same = Window.partitionBy("word", "salt").orderBy("block")
     rows = rows.withColumn("n", F.row_number().over(same))
-    rows = rows.withColumn("own", F.when(F.col("n") == 1, F.unhex(F.array_join(F.transform(encode_word(F.col("word"), literal), lambda x: F.lpad(F.hex(x), 8, "0")), ""))))
+    rows = rows.withColumn("own", F.when(F.col("n") == 1, encode_word(F.col("word"), Literals(ranks))))
     return rows.select("block", "place", F.first("own", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("ids"))
 
 
 def _documents(pieces: dict[int, bytes], whole: bool):
     names = [str(i) for i in range(max(pieces, default=0) + 1)]
 
-    def gather(block: dict[str, np.ndarray], found: dict[str, list[bytes]]) -> pa.Table:
-        lengths = np.array([len(w) // 4 for w in found["ids"]], np.int64)
-        known = np.frombuffer(b"".join(found["ids"]), ">i4").tolist()
+    def gather(block: dict[str, np.ndarray], found: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        lengths, known = found["ids"] if len(found["ids"]) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
         cuts = np.cumsum(lengths).tolist()
-        own = [known[a:e] for a, e in zip([0, *cuts[:-1]], cuts)]
+        own = [known[a:e].tolist() for a, e in zip([0, *cuts[:-1]], cuts)]
         words = [" ".join([names[i] for i in w]) for w in own]
         decoded = [b"".join([pieces[i] for i in w]) for w in own]
         flat, ends = block["flat"], np.cumsum(block["lens"])
         upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths[flat])])
-        ids, texts, at = [], [], 0
+        # a document's values are made, used and left before the next one's
+        values, at = [], 0
         for e in ends.tolist():
             mine = flat[at:e].tolist()
-            ids.append(" ".join([words[k] for k in mine]))
-            texts.append(b"".join([decoded[k] for k in mine]))
+            text = b"".join([decoded[k] for k in mine])
+            if whole:
+                values.append(([i for k in mine for i in own[k]], text))
+            else:
+                ids = " ".join([words[k] for k in mine]).encode()
+                values.append((hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
             at = e
+        kinds = {"ids": pa.list_(pa.int32()), "text": pa.binary()} if whole else {"ids_sha256": pa.string(), "decoded_sha256": pa.string()}
         out = {"id": pa.array(block["ids"], mask=block["known"] == 0), "n_tokens": pa.array(upto[ends] - upto[ends - block["lens"]])}
-        if whole:
-            out |= {"ids": pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), "text": pa.array(texts, pa.binary())}
-        else:
-            out |= {"ids_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string()), "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())}
-        return pa.table(out)
+        return pa.table(out | {name: pa.array([v[k] for v in values], kind) for k, (name, kind) in enumerate(kinds.items())})
 
     return gather
 
@@ -144,7 +225,7 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_c
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids and text (the bytes that the ids decode to) of every row. Null and empty texts have no ids;
-    repeated rows come out as often; other columns of ``docs`` aren't read."""
+    repeated rows come out as often; an empty table gives no rows; other columns of ``docs`` aren't read."""
     return _encoded(docs, ranks_path, pattern, id_col, text_col, True, "id long, n_tokens long, ids array<int>, text binary")
 
 

@@ -1,5 +1,5 @@
-"""Token counts without token ids: pieces are counted once for each distinct pre-token of the corpus, joined to the
-documents' pre-token frequencies by blocks, and summed."""
+"""Token counts without token ids: pieces are counted once for each distinct pre-token of the corpus (once for every
+65,536 blocks), joined to the documents' pre-token frequencies by blocks, and summed."""
 
 from __future__ import annotations
 
@@ -75,9 +75,10 @@ def _sums(block: dict[str, np.ndarray], found: dict[str, np.ndarray]) -> pa.Tabl
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """id, n_bytes (of UTF-8) and n_tokens of every row, as the tokenizers library counts them without begin, end or
-    added special tokens. Null and empty texts have none; repeated rows come out as often; other columns aren't read."""
+    added special tokens. Null and empty texts have none; repeated rows come out as often; an empty table gives no rows;
+    other columns aren't read."""
     blocks, buckets = B.build_blocks(docs, splitter(tokenizer_path), id_col, text_col, block_bytes=block_bytes)
     rows = B.word_rows(blocks)
-    near = rows.select("word", "block", "place").repartition("word").sortWithinPartitions("word")
+    near = B.salted(blocks, rows).select("word", "block", "place", "salt").repartition("word", "salt").sortWithinPartitions("word")
     found = near.mapInArrow(_pieces(tokenizer_path), "block long, place int, pieces int")
     return B.by_block(blocks, buckets, found, _sums, "id long, n_bytes long, n_tokens long")
