@@ -8,8 +8,13 @@ Documents of equal sets are one node from the start. Of the nodes that share a b
 other such node has are counted: they bound every intersection from above, so that nodes that have too many of them,
 and pairs that can't be similar, need no comparison. The rest are compared with the node of their band that has the
 fewest, the one nearest to what they were copied from, and not with each other; links that hold join components, and
-only nodes of a band that are still in different components are then compared pair by pair. So a group of near copies
-costs a few comparisons a member, and no link between different components stays unchecked.
+what is then outside its hub's component is compared with a second hub.
+
+Nodes of a band that are still in different components are told apart by their differences from one node. If two sets
+are similar and one of them isn't similar to that node, they share many of their differences from it: so a pair is
+compared only if it shares one of the rarest differences of both, at places that leave enough for the rest (a prefix
+filter, exact for every pair of a band). A group of near copies thus costs a few comparisons a member, and no link
+between different components stays unchecked.
 """
 
 from __future__ import annotations
@@ -25,17 +30,18 @@ from . import runtime
 
 #: 32 bands of 4 coordinates: a pair at a similarity of 0.8 shares none with a chance of 5 in 100 million.
 BANDS, ROWS = 32, 4
-#: Bands of the first round; what they join needn't be compared again in the second.
+#: Bands of the first round; what they join needn't be compared again in the second, nor in the third, which takes
+#: second hubs.
 FIRST_BANDS = 8
 #: Positions of the ring.
 RING_BITS = 22
 SEED = 20240229
 #: Word hashes that a worker holds before it starts anew; only speed depends on it.
 HELD_WORDS = 1 << 20
-#: Identifiers of texts to compare that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
-#: Members that one task compares with a copy of their hub.
-SPREAD = 512
+#: Keys and identifiers of texts to compare that are broadcast, some 100 bytes each; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+#: Members that one task compares with a copy of their hub, as long as there are at most so many hubs of more.
+SPREAD, HEAVY = 512, 10_000
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -159,6 +165,16 @@ def _with_key(size: int):
     return keyed
 
 
+def _keyed(size: int):
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(size, ring_bits=8)
+        for b in batches:
+            sets = (signer.shingles(words_of(text)) for text in b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signer.key(x) if len(x) else None for x in sets], pa.binary())], ["text", "key"])
+
+    return keyed
+
+
 def _shingle_rows(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(size, ring_bits=8)
@@ -170,17 +186,46 @@ def _shingle_rows(size: int):
     return rows
 
 
+def _differences(size: int):
+    """Rows ordered as for ``_confirm``: hashes of the shingles that a member and its hub don't share."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, hub, own = Signer(size, ring_bits=8), None, np.zeros(0, np.uint64)
+        for b in batches:
+            rows = []
+            for this, _, member, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+                mine = signer.shingles(words_of(text))
+                if member is None:
+                    hub, own = this, mine
+                elif this == hub:
+                    rows.append((this, member, len(own), np.setxor1d(own, mine, assume_unique=True).view(np.int64)))
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["hub", "member", "hub_n", "others"])
+
+    return differ
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """text and key of the nodes in ``wanted`` (key, rep), once each. An identifier may occur with several texts: the
+    key tells. Where it is that of several nodes, or null, its rows are joined by their keys."""
+    small = wanted.count() <= BROADCAST_ROWS
+    hint = F.broadcast if small else lambda x: x
+    by_key = wanted.groupBy("rep").agg(F.count("*").alias("c")).where("rep is null or c > 1").select("rep")
+    plain = wanted.join(by_key, "rep", "left_anti") if not by_key.isEmpty() else wanted
+    texts = docs.join(hint(plain), F.col("id") == F.col("rep")).select("text", "key").mapInArrow(_with_key(size), "text string, key binary")
+    if plain is not wanted:
+        odd = docs.join(hint(by_key), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(_keyed(size), "text string, key binary")
+        texts = texts.unionByName(odd.join(hint(wanted.select("key")), "key", "left_semi").select("text", "key"))
+    return texts.dropDuplicates(["key"])
+
+
 def candidates(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Nodes that may have a link, with ``own``, how many of their shingles no other candidate has (or fewer, where
     hashes meet); and the candidates' texts by key."""
     bands = nodes.select("key", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     some = runtime.materialise(bands.join(shared, "band").select("key").distinct().join(nodes, "key"), "candidates")
-    small = some.count() <= BROADCAST_ROWS
-    wanted = some.select("key", "rep")
-    # an identifier that occurs twice may have another text: the key tells
-    texts = docs.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "key").mapInArrow(_with_key(size), "text string, key binary")
-    texts = runtime.materialise(texts.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()), "texts")
+    texts = runtime.materialise(_texts(docs, some.select("key", "rep"), size).withColumn("node", F.monotonically_increasing_id()), "texts")
     rows = texts.select("node", "text").mapInArrow(_shingle_rows(size), "node long, shingle long")
     alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.first("node").alias("node")).where("c = 1")
     own = texts.select("key", "node").join(alone.groupBy("node").agg(F.count("*").alias("own")), "node").select("key", "own")
@@ -188,28 +233,37 @@ def candidates(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> tu
     return runtime.materialise(lively.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "lively"), texts.select("key", "text")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (hub, member) of node keys those that are similar, as (a, b)."""
+def _met(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (hub, member) of node keys with their texts, ordered: a hub's own text, then its members'. A hub of many
+    members is copied, so that they're shared among tasks; by the bound on what is many there are at most HEAVY such."""
     spark = pairs.sparkSession
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
-    # a hub of many members is copied, so that they're shared among tasks
-    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    most = max(SPREAD, pairs.count() // HEAVY)
+    heavy = pairs.groupBy("hub").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    heavy = F.broadcast(runtime.materialise(heavy, "heavy"))
+    parts = F.coalesce("parts", F.lit(1))
+    hubs = pairs.select("hub").distinct().join(heavy, "hub", "left").select("hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     hubs = hubs.join(texts, F.col("hub") == F.col("key")).select("hub", "part", F.lit(None).cast("binary").alias("member"), "text")
-    members = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member")
+    members = pairs.join(heavy, "hub", "left").select("hub", F.pmod(F.xxhash64("member"), parts).cast("int").alias("part"), "member")
     members = members.join(texts, F.col("member") == F.col("key")).select("hub", "part", "member", "text")
-    met = hubs.unionByName(members).repartition(runtime.shuffle_partitions(spark), "hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
-    return runtime.materialise(met.mapInArrow(_confirm(size, percent), "a binary, b binary"), "links")
+    return hubs.unionByName(members).repartition(runtime.shuffle_partitions(spark), "hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (hub, member) of node keys those that are similar, as (a, b)."""
+    return runtime.materialise(_met(pairs, texts).mapInArrow(_confirm(size, percent), "a binary, b binary"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """key and label, the least key of its component, of every key in ``links`` (a, b): least neighbouring labels and
-    pointer jumping, until nothing changes."""
+    pointer jumping, until nothing changes. What is joined is read from files, so that a hub's many links, which have
+    one key, are split among tasks by the engine's skew join; sums are made before they are shuffled."""
     edges = runtime.materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = runtime.materialise(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, F.col("key") == F.col("a")).select("key", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("key").alias("k"), F.col("label").alias("beyond"))
+        # only labels that have themselves gone to another lead further
+        jump = labels.where("label <> key").select(F.col("key").alias("k"), F.col("label").alias("beyond"))
         new = lower.join(jump, F.col("label") == F.col("k"), "left").select("key", "was", F.least("label", F.coalesce("beyond", "label")).alias("label"))
         new = runtime.materialise(new, "labels")
         changed = new.where("label <> was").limit(1).count()
@@ -235,31 +289,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     nodes = runtime.materialise(nodes, "nodes")
 
     lively, texts = candidates(nodes, docs, size, percent)
-    labels = links = None
-    for last in (FIRST_BANDS, BANDS):
+    labels = None
+    for last, second in ((FIRST_BANDS, False), (BANDS, False), (BANDS, True)):
         rows = _banded(lively, labels, last)
-        hubs = rows.groupBy("band").agg(F.min(F.struct("own", "key", "label", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
-        pairs = rows.join(hubs.select("band", "h"), "band").where(F.col("label") != F.col("h.label"))
+        first = F.min(F.struct("own", "key", "label", "n"))
+        hubs = runtime.materialise(rows.groupBy("band").agg(first.alias("h"), F.count("*").alias("c")).where("c > 1").select("band", "h"), "hubs")
+        pairs = rows.join(hubs, "band").where(F.col("label") != F.col("h.label"))
+        if second:
+            rows = runtime.materialise(pairs.drop("h"), "rest")
+            hubs = runtime.materialise(rows.groupBy("band").agg(first.alias("h"), F.count("*").alias("c")).where("c > 1").select("band", "h"), "hubs")
+            pairs = rows.join(hubs, "band").where(F.col("label") != F.col("h.label"))
         pairs = pairs.where(_possible(F.col("n"), F.col("own"), F.col("h.n"), F.col("h.own"), percent))
-        links, labels = _grown(pairs.select(F.col("h.key").alias("hub"), F.col("key").alias("member")), texts, size, percent, links, labels)
-    # what is left in a band in different components is compared pair by pair
-    rows = _banded(lively, labels, BANDS)
-    mixed = rows.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band")
-    # with all bands of both at hand, a pair comes from the first that it shares and from no other
-    rows = runtime.materialise(rows.join(mixed, "band").join(lively.select("key", "bands"), "key"), "mixed")
-    other = rows.select("band", F.col("bands").alias("hub_bands"), F.col("key").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"))
-    once = F.col("band") == F.try_element_at(F.array_intersect("hub_bands", "bands"), F.lit(1))
-    pairs = other.join(rows, "band").where("hub_label < label").where(once).where(_possible(F.col("n"), F.col("own"), F.col("hub_n"), F.col("hub_own"), percent))
-    links, labels = _grown(pairs.select("hub", F.col("key").alias("member")), texts, size, percent, links, labels)
+        labels = _grown(pairs.select(F.col("h.key").alias("hub"), F.col("key").alias("member")), texts, size, percent, labels)
+    # what is left in a band in different components
+    labels = _grown(unlike(lively, labels, texts, size, percent), texts, size, percent, labels)
 
     classes = nodes.select("key", "rep")
     if labels is not None:
         joined = classes.join(labels, "key")
-        least = joined.groupBy("label").agg(F.min("rep").alias("least"))
+        least = runtime.materialise(joined.groupBy("label").agg(F.min("rep").alias("least")), "least")
         least = joined.join(least, "label").select("key", "label", "least")
         classes = classes.join(least, "key", "left").select("key", F.coalesce("label", "key").alias("component"), F.coalesce("least", "rep").alias("component_id"))
     else:
         classes = classes.select("key", F.col("key").alias("component"), F.col("rep").alias("component_id"))
+    # written, as are others that are joined to hot keys: the engine splits those when both sides come from files
+    classes = runtime.materialise(classes, "classes")
     component_id = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     return signed.select("id", "row", "n", "key").join(classes, "key", "left").select("id", "row", F.col("n").alias("n_shingles"), component_id, "component")
 
@@ -277,10 +331,63 @@ def _possible(n: Column, own: Column, other_n: Column, other_own: Column, percen
     return 100 * most >= percent * (n + other_n - most)
 
 
-def _grown(pairs: DataFrame, texts: DataFrame, size: int, percent: int, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+def unlike(lively: DataFrame, labels: DataFrame | None, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (hub, member) in different components that share a band and may be similar, by their differences.
+
+    Let a and b be similar sets, A and B their differences from a third one, h. Then |A & B| is at least
+    (|A| + |B|) / 2 - (100 - p) / (200 + 2 p) * (|a| + |b|), and if b and h aren't similar, at least
+    ((100 + p) |B| - (100 - p) (|h| + |b|)) / 200, which is above zero. Ordered alike, rarest first, the first common
+    difference of the pair stands where as many are left in both.
+    """
+    below, above = 100 - percent, 100 + percent
+    rows = _banded(lively, labels, BANDS)
+    mixed = rows.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct("own", "key")).alias("h")).where("least <> most").select("band", "h")
+    rows = runtime.materialise(rows.join(runtime.materialise(mixed, "mixed"), "band"), "unlike")
+    # one h for as many bands as possible: the least that any of a band's members has in one of its bands
+    of_node = runtime.materialise(rows.groupBy("key").agg(F.min("h").alias("near")), "near")
+    of_band = runtime.materialise(rows.join(of_node, "key").groupBy("band").agg(F.min("near.key").alias("hub")), "near")
+    pairs = rows.join(of_band, "band").groupBy("hub", F.col("key").alias("member")).agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("own").alias("own"))
+    pairs = runtime.materialise(pairs, "unlike")
+    found = _met(pairs.select("hub", "member"), texts).mapInArrow(_differences(size), "hub binary, member binary, hub_n long, others array<long>")
+    found = found.join(pairs, ["hub", "member"]).withColumn("d", F.size("others").cast("long"))
+    found = runtime.materialise(found.withColumn("far", above * F.col("d") > below * (F.col("hub_n") + F.col("n"))), "differences")
+    direct = found.where("not far and hub <> member").select("hub", "member")
+
+    # differences that one member alone has come first in the order and match nothing
+    each = found.select("hub", "member", F.explode("others").alias("x"))
+    common = runtime.materialise(each.groupBy("hub", "x").agg(F.count("*").alias("c")).where("c > 1"), "common")
+    ranked = each.join(common, ["hub", "x"]).groupBy("hub", "member").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("order"))
+    ranked = ranked.join(found.drop("others"), ["hub", "member"])
+    least = F.greatest(F.lit(1), F.ceil((above * F.col("d") - below * (F.col("hub_n") + F.col("n"))) / F.lit(200.0)))
+    placed = ranked.withColumn("alone", F.col("d") - F.size("order")).withColumn("upto", F.greatest(F.lit(0), F.col("d") - least + 1 - F.col("alone")).cast("int"))
+    placed = placed.select("hub", "member", "label", "n", "own", "d", "far", "alone", F.posexplode(F.slice("order", 1, F.col("upto"))).alias("place", "o"))
+    placed = placed.select("hub", "member", "label", "n", "own", "d", "far", F.col("o.x").alias("x"), (F.col("d") - F.col("alone") - F.col("place")).alias("left"))
+    placed = runtime.materialise(placed, "placed")
+    other = placed.select("hub", "x", *[F.col(c).alias(f"other_{c}") for c in ("member", "label", "n", "own", "d", "far", "left")])
+    enough = 2 * above * F.least("left", "other_left") >= above * (F.col("d") + F.col("other_d")) - below * (F.col("n") + F.col("other_n"))
+    near = placed.join(other, ["hub", "x"]).where("label < other_label and (far or other_far)").where(enough)
+    near = near.where(_possible(F.col("n"), F.col("own"), F.col("other_n"), F.col("other_own"), percent))
+    return near.select(F.col("member").alias("hub"), F.col("other_member").alias("member")).unionByName(direct)
+
+
+def _grown(pairs: DataFrame, texts: DataFrame, size: int, percent: int, labels: DataFrame | None) -> DataFrame | None:
+    """Labels after the links among ``pairs``: components of what has a label, of which only those that a new link
+    joins are found anew."""
     pairs = runtime.materialise(pairs.distinct(), "pairs")
-    if not pairs.limit(1).count():
-        return links, labels
-    new = confirm(pairs, texts, size, percent)
-    links = new if links is None else links.unionByName(new)
-    return links, components(links)
+    if pairs.isEmpty():
+        return labels
+    links = confirm(pairs, texts, size, percent)
+    if labels is None:
+        return components(links)
+    sides = links.select("a", "b")
+    for side in ("a", "b"):
+        own = labels.select(F.col("key").alias(side), F.col("label").alias("of"))
+        sides = sides.join(own, side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+    sides = runtime.materialise(sides.where("a <> b"), "sides")
+    if sides.isEmpty():
+        return labels
+    joined = components(sides)
+    # a key without a label is its own
+    moved = joined.select(F.col("key").alias("was"), F.col("label").alias("now"))
+    fresh = joined.join(labels.select("key"), "key", "left_anti")
+    return runtime.materialise(labels.join(moved, F.col("label") == F.col("was"), "left").select("key", F.coalesce("now", "label").alias("label")).unionByName(fresh), "labels")

@@ -83,6 +83,44 @@ def test_near_duplicates(spark, size):
     assert rows_of(got, "id", "n_shingles", "component_id") == brute_components(rows, size, 80)
 
 
+def test_a_large_group_of_near_copies(spark):
+    """1,200 copies of all degrees, of two related texts and with edits that recur, against all pairs."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    base = [rng.choice(words) for _ in range(140)]
+    sister = [rng.choice(words) if k % 9 == 0 else w for k, w in enumerate(base)]
+    rows = []
+    for k in range(1200):
+        copy = list(rng.choice([base, base, sister]))
+        for at in rng.sample(range(len(base)), rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 12])):
+            copy[at] = rng.choice(words[:12])
+        rows.append((k, " ".join(copy)))
+    sets = [near_dups.shingle_set(near_dups.words_of(t), 4) for _, t in rows]
+    place = {g: k for k, g in enumerate(set().union(*sets))}
+    has = np.zeros((len(rows), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [place[g] for g in s]] = 1
+    shared, n = has @ has.T, has.sum(1)
+    linked = 100 * shared >= 80 * (n[:, None] + n[None, :] - shared)
+    least = np.arange(len(rows))
+    while True:
+        new = np.where(linked, least[None, :], len(rows)).min(1)
+        if (new == least).all():
+            break
+        least = new
+    assert 5 < len(set(least.tolist())) < 1000
+    got = near_dups.near_duplicates(table(spark, rows), size=4)
+    assert rows_of(got, "id", "n_shingles", "component_id") == sorted(((k, len(sets[k]), int(c)) for k, c in enumerate(least)), key=repr)
+
+
+def test_near_duplicates_of_texts_without_an_identifier(spark):
+    """Null and repeated identifiers stand for many texts; each text is found by its key."""
+    text = lambda k: " ".join(f"{'abcdef'[k]}{j}" for j in range(50))
+    rows = [(i, text(k) + more) for i in (None, 7) for k in range(3) for more in ("", " more")] + [(7, text(5)), (1, text(0) + " and")]
+    got = near_dups.near_duplicates(table(spark, rows), size=4)
+    assert rows_of(got, "id", "n_shingles", "component_id") == brute_components(rows, 4, 80)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dups.near_duplicates(table(spark, AWKWARD).limit(0)).count() == 0
     assert near_dups.near_duplicates(table(spark, [(1, "a b c d e f"), (2, None)])).count() == 2
@@ -285,6 +323,39 @@ def test_byte_bpe(spark):
     assert base64.b64decode("IQ==") in ranks
 
 
+def test_long_words(spark):
+    """Words of many letters without white space, random and repeated, are folded in windows."""
+    import tiktoken
+
+    path, rng = P.path("byte_bpe_50k.tiktoken"), random.Random(9)
+    ranks = byte_bpe.read_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    longs = ["".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(n)) for n in (511, 512, 513, 1024, 1025, 200_000)]
+    longs += ["=" * 5000, "abc" * 2000, "日本語" * 900, "".join(chr(rng.randint(0x4E00, 0x4FFF)) for _ in range(800))]
+    rows = list(enumerate(longs))
+    got = {r["id"]: list(r["ids"]) for r in byte_bpe.encode(table(spark, rows), path, P.PATTERN).collect()}
+    assert all(got[k] == enc.encode_ordinary(t) for k, t in rows)
+
+
+def test_windows_that_share_no_piece(spark):
+    """Pieces of which a long word's windows share none: the whole word is folded."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for k in range(1, 8):
+        ranks[b"a" * (1 << k)] = 255 + k
+    ranks[b"aaa"] = 300
+    literals = byte_bpe.Literals(ranks)
+    literals.overlap = 6  # less than two pieces
+    word = "a" * 997
+    got = spark.createDataFrame([(word,)], "w string").select(byte_bpe.encode_word(F.col("w"), literals).alias("ids")).first()["ids"]
+    want = [bytes([b]) for b in word.encode()]
+    while True:
+        low = min((ranks.get(a + b, 1 << 20), k) for k, (a, b) in enumerate(zip(want, want[1:])))
+        if low[0] == 1 << 20:
+            break
+        want[low[1] : low[1] + 2] = [want[low[1]] + want[low[1] + 1]]
+    assert got == [ranks[x] for x in want]
+
+
 # --- language model --------------------------------------------------------------------------------------------------------
 
 
