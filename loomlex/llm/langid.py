@@ -2,8 +2,8 @@
 support vector machines between the closely related languages.
 
 Features are hashed byte n-grams of the whole lower-cased text, square-rooted and normalised. The machines are fit on
-a bounded sample of labelled rows (``sample_rows``, shared equally by the languages and chosen by a hash of the
-identifier over the whole table).
+a bounded sample of labelled rows (``sample_rows``, shared equally by the languages and chosen by a hash of identifier
+and text over the whole table), in one task: only weights come to the driver.
 """
 
 from __future__ import annotations
@@ -66,16 +66,17 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 150) -> np.
     """A linear machine with squared hinge loss, by accelerated gradient steps; the last weight is the bias.
     Both sides weigh the same, however many rows they have."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * c * len(y) / 100
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    v = np.ones(x.shape[1], np.float32)
+    margins = lambda v: x @ v[:-1] + v[-1]
+    back = lambda g: np.append(x.T @ g, g.sum())
+    v = np.ones(x.shape[1] + 1, np.float32)
     for _ in range(8):
-        v = x.T @ (share * (x @ v))
+        v = back(share * margins(v))
         norm = np.linalg.norm(v)
         v /= norm
     step, w, z, t = 1 / (2 * norm + 1), np.zeros_like(v), np.zeros_like(v), 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ z))
-        new = z - step * (z - 2 * (x.T @ (share * y * slack)))
+        slack = np.maximum(0, 1 - y * margins(z))
+        new = z - step * (z - 2 * back(share * y * slack))
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z, w, t = new + (t - 1) / after * (new - w), new, after
     return w
@@ -118,59 +119,89 @@ class Model:
         return votes, sure
 
 
+def pairs_of(names: list[str]) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Families of the languages, pairs of families, and pairs of languages of one family."""
+    families = sorted({family(n) for n in names})
+    return families, list(combinations(range(len(families)), 2)), [(a, b) for a, b in combinations(range(len(names)), 2) if family(names[a]) == family(names[b])]
+
+
+def model_of(names: list[str], weights: np.ndarray) -> Model:
+    return Model(names, *pairs_of(names), weights)
+
+
 def fit(x: np.ndarray, langs: list[str]) -> Model:
     names = sorted(set(langs))
-    families = sorted({family(n) for n in names})
+    families, family_pairs, lang_pairs = pairs_of(names)
     y = np.array(langs)
     fam = np.array([family(n) for n in langs])
-    family_pairs = list(combinations(range(len(families)), 2))
-    lang_pairs = [(a, b) for a, b in combinations(range(len(names)), 2) if family(names[a]) == family(names[b])]
     machines = []
     for values, kinds, pairs in ((fam, families, family_pairs), (y, names, lang_pairs)):
         for a, b in pairs:
             rows = (values == kinds[a]) | (values == kinds[b])
-            machines.append(svm(x[rows], np.where(values[rows] == kinds[a], 1, -1).astype(np.float32)))
-    return Model(names, families, family_pairs, lang_pairs, np.array(machines, np.float32).T if machines else np.zeros((DIMS + 1, 0), np.float32))
+            machines.append(svm(x if rows.all() else x[rows], np.where(values[rows] == kinds[a], 1, -1).astype(np.float32)))
+    return model_of(names, np.array(machines, np.float32).T if machines else np.zeros((DIMS + 1, 0), np.float32))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places and values of what isn't zero."""
     for b in batches:
-        kept = [(lang, features(t).tobytes()) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if has_letter(t)]
+        kept = []
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if has_letter(text):
+                x = features(text)
+                places = np.flatnonzero(x)
+                kept.append((lang, places.astype(np.uint16).tobytes(), x[places].tobytes()))
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), (pa.string(), pa.binary()))], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), (pa.string(), pa.binary(), pa.binary()))], ["lang", "places", "values"])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)))]
+    if not rows:
+        return
+    rows.sort()  # alike whatever the partitions' order
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for k, (_, places, values) in enumerate(rows):
+        x[k, np.frombuffer(places, np.uint16)] = np.frombuffer(values, np.float32)
+    langs = [lang for lang, _, _ in rows]
+    rows.clear()
+    model = fit(x, langs)
+    yield pa.RecordBatch.from_arrays([pa.array([model.langs], pa.list_(pa.string())), pa.array([model.weights.tobytes()], pa.binary())], ["langs", "weights"])
 
 
 def sample(rows: DataFrame, sample_rows: int) -> DataFrame:
-    """Up to an equal share of ``sample_rows`` for each language: the rows of the smallest hashes over the whole table.
-    Rows that can't be among them are dropped by a bound from the languages' counts, before any are ordered."""
+    """Up to an equal share of ``sample_rows`` for each language: the rows of the smallest hashes over the whole table,
+    rows of equal identifier and text once. A bound from the languages' counts drops rows that can't be among them
+    before any are moved or ordered. More languages than ``sample_rows`` are an error, not a cut."""
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(sample_rows + 1).collect()}
+    if len(counts) > sample_rows:
+        raise ValueError(f"over {sample_rows} languages; raise sample_rows, so that each has a row")
     if not counts:
         return rows.limit(0).select("lang", "text")
     share = max(1, sample_rows // len(counts))
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, min(1.0, (2 * share + 50) / n)).otherwise(rate)
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(11), "id")).where(F.pmod("h", F.lit(1 << 40)) < rate * F.lit(float(1 << 40)))
-    near = hashed.select("id", "lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "id"))).where(F.col("rank") <= share)
-    return hashed.join(F.broadcast(near.select("id", F.col("lang").alias("of")).distinct()), "id").where("lang = of").select("lang", "text")
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 40))).where(F.col("h") < rate * F.lit(float(1 << 40)))
+    first = Window.partitionBy("lang", "h").orderBy("id", "text")
+    once = hashed.withColumn("copy", F.row_number().over(first)).where("copy = 1")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= share).select("lang", "text")
 
 
 def train(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit on rows of ``docs`` where ``trains`` holds and the language isn't null; None where there are none."""
+    """Fit on rows of ``docs`` where ``trains`` holds and the language isn't null, also those of null or repeated
+    identifiers; repeated rows count once. None where no such row has a letter."""
     runtime.prepare(docs.sparkSession)
     rows = docs.where(trains).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null")
-    got = sample(rows, sample_rows).mapInArrow(_vectors, "lang string, x binary").toArrow()
-    langs = got.column("lang").to_pylist()
-    if not langs:
-        return None
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(langs), DIMS)
-    order = sorted(range(len(langs)), key=lambda k: (langs[k], x[k].tobytes()))  # alike whatever the partitions' order
-    return fit(x[order], [langs[k] for k in order])
+    vectors = sample(rows, sample_rows).mapInArrow(_vectors, "lang string, places binary, values binary")
+    got = vectors.repartition(1).mapInArrow(_fitted, "langs array<string>, weights binary").first()
+    return model_of(list(got["langs"]), np.frombuffer(got["weights"], np.float32).reshape(DIMS + 1, -1)) if got else None
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score (0 to 1) of each row from its whole text alone. A text that is null or has no letter
-    gives ``und`` and 0, as does a model of no languages. Repeated rows come out as often; other columns aren't read."""
+    gives ``und`` and 0, as does a model of no languages. Of languages with equal votes the first by name is given.
+    Repeated rows come out as often; an empty table gives no rows; other columns aren't read."""
     runtime.prepare(docs.sparkSession)
     rows = runtime.only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(predictor(model), "id long, lang_pred string, score double")
@@ -197,7 +228,8 @@ def predictions(model: Model | None, texts: list) -> tuple[list[str], np.ndarray
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.1, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all of their columns, whose language is told with a score of at least ``least``."""
+    """The rows of ``docs``, with all of their columns, whose language is told with a score of at least ``least``.
+    Null texts, texts without a letter, and with no model all texts are rejected; repeated rows share a fate."""
     runtime.prepare(docs.sparkSession)
     place = docs.columns.index(text_col)
 
