@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 from . import blocks as B
 from . import pretokens
 
-#: Bits of a rank in the literal of pairs.
-RANK_BITS = 20
+#: Bits of a rank: three must go into a number, and leave room for where a piece starts.
+MOST_BITS = 20
 #: A length beyond every word.
 ALL = 1 << 28
 
@@ -45,6 +45,19 @@ def _next_prime(n: int) -> int:
     return n
 
 
+def _last_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, int, int] | None:
+    """The two pieces that a piece is made of, and its rank. No other two that spell it ever stand side by side: what
+    happens within a stretch that no merge has crossed is what happens to the stretch alone. None for a single byte,
+    and for a piece that merges never make."""
+    parts, none = [piece[k : k + 1] for k in range(len(piece))], 1 << 62
+    while len(parts) > 2:
+        low, k = min((ranks.get(a + b, none), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+        if low == none:
+            return None
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return (ranks[parts[0]], ranks[parts[1]], ranks[piece]) if len(parts) == 2 else None
+
+
 class Literals:
     """What the fold looks up, as literals of type array<long>. JSON is the public way to literals of this size;
     Catalyst folds them once, when it plans."""
@@ -52,17 +65,12 @@ class Literals:
     def __init__(self, ranks: dict[bytes, int]):
         #: Bits of a rank where a word's pieces are held; the highest number of so many bits is no rank.
         self.bits = (max(ranks.values()) + 1).bit_length()
-        if self.bits > RANK_BITS:
-            raise ValueError(f"ranks of more than {RANK_BITS} bits")
+        if self.bits > MOST_BITS:
+            raise ValueError(f"ranks of more than {MOST_BITS} bits")
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"bytes without a rank: {missing[:5]}")
-        pairs = {}
-        for piece, rank in ranks.items():
-            for cut in range(1, len(piece)):
-                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-                if left is not None and right is not None:
-                    pairs[(left << RANK_BITS) + right] = rank
+        pairs = {(left << self.bits) + right: rank for left, right, rank in filter(None, (_last_merge(p, ranks) for p in ranks))}
         size = max(1000, 2 * len(pairs))
         while True:  # a larger table where no arrangement is found
             self.primes = (a := _next_prime(size)), _next_prime(a + size // 8)
@@ -87,7 +95,7 @@ class Literals:
                 turn = 1 if key % self.primes[0] == at else 0
             else:
                 return None
-        return [-1 if k is None else (k << RANK_BITS) + pairs[k] for k in table]
+        return [-1 if k is None else (k << self.bits) + pairs[k] for k in table]
 
     def column(self, values: list[int]) -> Column:
         return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<long>")
@@ -126,11 +134,11 @@ def _encode(ids: Column, pairs: Column, literals: Literals) -> Column:
     pad = long(last + (1 << bits) - 1)
 
     def rank(key: Column) -> Column:
-        """Of a pair, its left piece above RANK_BITS bits."""
+        """Of a pair, its left piece above the right one's bits."""
         places = [F.get(pairs, (key % long(p)).cast("int")) for p in literals.primes]
-        return F.coalesce(*[F.when(F.shiftright(v, RANK_BITS) == key, v.bitwiseAND(long((1 << RANK_BITS) - 1))) for v in places], none)
+        return F.coalesce(*[F.when(F.shiftright(v, bits) == key, v.bitwiseAND(id_mask)) for v in places], none)
 
-    pair = lambda left, right: left * long(1 << RANK_BITS) + right
+    pair = lambda left, right: left * long(1 << bits) + right
     above = lambda left, right: _let(pair(left, right), rank) * top
 
     def merge(held: Column, low: Column, j: Column) -> Column:
