@@ -41,7 +41,7 @@ HELD_WORDS = 1 << 20
 #: Keys and identifiers of texts to compare that are broadcast, some 100 bytes each; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Members that one task compares with a copy of their hub, as long as there are at most so many hubs of more.
-SPREAD, HEAVY = 512, 10_000
+SPREAD, HEAVY = 128, 10_000
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
