@@ -22,8 +22,8 @@ from . import runtime
 
 #: Bound on pairs of a pattern and one of its sources that the driver takes.
 MAX_ARCS = 1_000_000
-#: Hash ranges of a pattern for distributed running sums.
-RANGES = 4096
+#: Hash ranges of a pattern for distributed running sums, by the hash's top bits: coarse ones, and as many within one.
+RANGE_BITS = 10
 #: Words of a document, as ASCII white space divides them.
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -118,10 +118,20 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
     return [[flow.arcs[x ^ 1][1] for x in xs] for xs in links]
 
 
+def _edges(held: DataFrame, place: Column, before: Column) -> DataFrame:
+    """pattern, edge and before: the range where a pattern's rest ends, and the words in the ranges before it. Sums are
+    made by range first, so that no window has more rows of a pattern than there are ranges."""
+    totals = held.select("pattern", place.alias("edge"), "rest", before.alias("before"), "size").groupBy("pattern", "edge", "rest", "before").agg(F.sum("size").alias("words"))
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("pattern").orderBy("edge"))
+    ends = totals.withColumn("upto", upto).where("upto > rest and upto - words <= rest")
+    return ends.select("pattern", "edge", (F.col("upto") - F.col("words")).alias("before"))
+
+
 def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, most: int = 3, row_col: str | None = None) -> DataFrame:
     """Mix all of ``docs`` to target weights.
 
-    members: an array of the sources a document belongs to; by default the one in ``source_col``. Sources ordered by
+    members: an array of the sources a document belongs to; by default the one in ``source_col``. A document of no
+    source (an empty array, or null) is never taken; an empty name and null are sources like others. Sources ordered by
     code point, null last, weigh 1, 2, 3, repeating, and share all words by weight; a source's target stops at ``most``
     times its words and what is above goes to the others by weight. Returns a row for each row of ``docs``: id, row
     (what ``row_col`` holds, else a number of its own), size (its words; null and empty texts have 0), source_size and
@@ -135,9 +145,7 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
     runtime.prepare(spark)
     own = F.array(F.col(f"`{source_col}`").cast("string")) if members is None else F.array_sort(F.array_distinct(members.cast("array<string>")))
     row = F.col(f"`{row_col}`").cast("long") if row_col else F.monotonically_increasing_id()
-    sized = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(own, F.array().cast("array<string>")).alias("members"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(WORDS)).cast("long").alias("size"))
-    # the pattern as one string, nulls told apart from empty names
-    sized = sized.withColumn("key", F.array_join("members", "\x1f", "\x1e")).withColumn("hash", F.xxhash64(F.lit(seed), "id", "size"))
+    sized = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(own, F.array().cast("array<string>")).alias("members"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(WORDS)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).alias("hash"))
     sized = runtime.materialise(sized, "sizes")
 
     patterns = [(tuple(r["members"]), r["size"]) for r in sized.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_ARCS + 1).collect()]
@@ -154,20 +162,21 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
     targets = water_fill(sizes, [k % 3 + 1 for k in range(len(sources))], sum(w for _, w in patterns), most)
     routed = route([(tuple(place[s] for s in m), w) for m, w in patterns], [round(t) for t in targets], most)
 
-    schema = "pattern int, key string, source_size long, target double, passes long, rest long"
+    schema = "pattern int, members array<string>, source_size long, target double, passes long, rest long"
     rows = []
     for k, ((m, words), sent) in enumerate(zip(patterns, routed)):
         passes, rest = divmod(sum(sent), words) if words else (0, 0)
-        rows.append((k, "\x1f".join("\x1e" if s is None else s for s in m), sum(sizes[place[s]] for s in m), float(sum(targets[place[s]] for s in m)), passes, rest))
+        rows.append((k, list(m), sum(sizes[place[s]] for s in m), float(sum(targets[place[s]] for s in m)), passes, rest))
     plan = spark.createDataFrame(rows, schema)
-    held = sized.join(F.broadcast(plan) if len(rows) <= 10_000 else plan, "key").drop("key", "members")
-    held = held.withColumn("range", F.pmod(F.shiftrightunsigned("hash", 52), F.lit(RANGES)).cast("int"))
+    held = sized.join(F.broadcast(plan) if len(rows) <= 10_000 else plan, "members").drop("members")
+    held = held.withColumn("range", F.shiftrightunsigned("hash", 64 - 2 * RANGE_BITS).cast("int"))
 
     # running sums: over ranges from their totals, and row by row only in the range where the last pass ends
-    totals = held.where("rest > 0").groupBy("pattern", "range", "rest").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("range"))
-    edges = totals.withColumn("upto", upto).where("upto > rest and upto - words <= rest").select("pattern", F.col("range").alias("edge"), (F.col("upto") - F.col("words")).alias("before"))
-    held = held.join(F.broadcast(edges) if len(rows) <= 10_000 else edges, "pattern", "left")
+    small = len(rows) <= 10_000
+    edges = _edges(held.where("rest > 0"), F.shiftright("range", RANGE_BITS), F.lit(0))
+    within = held.join(F.broadcast(edges) if small else edges, "pattern").where(F.shiftright("range", RANGE_BITS) == F.col("edge"))
+    edges = _edges(within.drop("edge"), F.col("range"), F.col("before"))
+    held = held.join(F.broadcast(edges) if small else edges, "pattern", "left")
     at_edge = F.col("range") == F.col("edge")
     inner = Window.partitionBy("pattern").orderBy("hash", "id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     border = held.where(at_edge).withColumn("more", F.sum("size").over(inner) + F.col("before") <= F.col("rest"))
@@ -177,7 +186,6 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
 
     # what the last pass still lacks goes to the one document whose size comes nearest, if that is nearer than none
     gaps = chosen.where("rest > 0").groupBy("pattern").agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("gap"))
-    small = len(rows) <= 10_000
     near = chosen.where("rest > 0 and not more").join(F.broadcast(gaps) if small else gaps, "pattern").where("abs(size - gap) < gap")
     last = near.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "hash", "id", "row")).alias("last")).select("pattern", F.col("last.row").alias("last"))
     final = chosen.join(F.broadcast(last) if small else last, "pattern", "left")
