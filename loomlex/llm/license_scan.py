@@ -7,7 +7,9 @@ gives its span and its edits.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,8 +121,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = flat.index(w, at)
                     places.append((at, at + len(w)))
                     at += len(w)
+                begins = list(accumulate((len(w) + 1 for w in line.split(" ")), initial=0))
                 for label, s, e, edits, size in found:
-                    one, last = line.count(" ", 0, s), line.count(" ", 0, e)
+                    one, last = bisect_right(begins, s) - 1, bisect_left(begins, e) - 1
                     spans.append({"label": label, "first_word": one, "last_word": last, "byte_start": places[one][0], "byte_end": places[last][1], "edits": edits})
                     best = max(best, 1.0 - edits / size)
             labels = base | {s["label"] for s in spans}
@@ -134,7 +137,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest and largest start, else null), base_labels, labels (with the notices'), score (1 for an exact find, less
     by the share of edited characters, 0 for none) and spans (label, words, UTF-8 byte range in the text, edits).
 
-    Null and empty texts have no words and no labels; rows that occur twice come out twice; other columns are not read.
+    Null and empty texts have no words and no labels; finds that tie in place are ordered by label; rows that occur
+    twice come out twice; an empty table gives no rows; other columns are not read. Time is linear in a text's length
+    and its finds.
     """
     runtime.prepare(docs.sparkSession)
     rows = runtime.only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
