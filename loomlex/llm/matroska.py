@@ -48,12 +48,17 @@ SIMPLE_BLOCK = 0xA3
 BLOCK_GROUP = 0xA0
 BLOCK = 0xA1
 BLOCK_DURATION = 0x9B
+REFERENCE_BLOCK = 0xFB
 CUES = 0x1C53BB6B
 CUE_POINT = 0xBB
 CUE_TIME = 0xB3
 CUE_TRACK_POSITIONS = 0xB7
 CUE_TRACK = 0xF7
 CUE_CLUSTER_POSITION = 0xF1
+SEEK_HEAD = 0x114D9B74
+TAGS = 0x1254C367
+CHAPTERS = 0x1043A770
+ATTACHMENTS = 0x1941A469
 VOID = 0xEC
 
 AUDIO_TRACK = 2
@@ -176,7 +181,7 @@ def read_vint(data: bytes, at: int) -> tuple[int | None, int, int]:
 
 #: What ends an element of unknown size: those that can't stand in it.
 _TOP = {EBML, SEGMENT}
-_LEVEL_1 = _TOP | {INFO, TRACKS, CLUSTER, CUES}
+_LEVEL_1 = _TOP | {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS}
 
 
 def children(data: bytes, at: int, end: int, until: frozenset | set = frozenset()) -> Iterator[tuple[int, int, int, int]]:
@@ -260,9 +265,12 @@ def demux(data: bytes) -> Media:
             elif j == CUES:
                 for k, _, a, e in children(data, body, stop):
                     if k == CUE_POINT:
-                        parts = {x: (y, z) for x, _, y, z in children(data, a, e)}
-                        where = {x: number(data, y, z) for x, _, y, z in children(data, *parts[CUE_TRACK_POSITIONS])}
-                        media.cues.append((number(data, *parts[CUE_TIME]), where[CUE_TRACK], at + where[CUE_CLUSTER_POSITION]))
+                        parts = list(children(data, a, e))
+                        time = next(number(data, y, z) for x, _, y, z in parts if x == CUE_TIME)
+                        for x, _, y, z in parts:
+                            if x == CUE_TRACK_POSITIONS:
+                                where = {n: number(data, p, q) for n, _, p, q in children(data, y, z) if n in (CUE_TRACK, CUE_CLUSTER_POSITION)}
+                                media.cues.append((time, where[CUE_TRACK], at + where[CUE_CLUSTER_POSITION]))
     return media
 
 
@@ -296,7 +304,7 @@ def _cluster(data: bytes, start: int, at: int, end: int, media: Media) -> None:
         elif i == BLOCK_GROUP:
             parts = {x: (y, z) for x, _, y, z in children(data, a, e)}
             if BLOCK in parts:
-                _block(data, start, base, *parts[BLOCK], number(data, *parts[BLOCK_DURATION]) if BLOCK_DURATION in parts else -1, True, media)
+                _block(data, start, base, *parts[BLOCK], number(data, *parts[BLOCK_DURATION]) if BLOCK_DURATION in parts else -1, REFERENCE_BLOCK not in parts, media)
 
 
 def _block(data: bytes, cluster: int, base: int, at: int, end: int, duration: int, key: bool | None, media: Media) -> None:
@@ -349,7 +357,7 @@ def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 packets.append([dict(zip((f.name for f in packet), p)) for p in demux(data).packets] if data is not None else None)
                 errors.append(None)
-            except (MatroskaError, KeyError, IndexError, struct.error) as e:
+            except (MatroskaError, KeyError, IndexError, StopIteration, struct.error) as e:
                 packets.append(None)
                 errors.append(str(e) or type(e).__name__)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packets, pa.list_(packet)), pa.array(errors, pa.string())], ["id", "packets", "error"])
@@ -370,7 +378,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and media, a Matroska file of each text. Null and empty texts become 64 zero samples; rows that
-    occur twice come out twice, and equal texts give equal files. Other columns are not read."""
+    occur twice come out twice, and equal texts give equal files. An empty table gives no rows; other columns are not
+    read."""
     runtime.prepare(docs.sparkSession)
     rows = runtime.only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_store, "id long, n_bytes long, media binary")
@@ -385,6 +394,7 @@ def packet_table(media: DataFrame, id_col: str = "id", media_col: str = "media")
 
 
 def media_digest(stored: DataFrame) -> DataFrame:
-    """Read back what ``store_text`` stored, by its packet tables: digests of payload and file, and features."""
+    """Read back what ``store_text`` stored, by its packet tables: digests of payload and file, and features. An empty
+    table gives no rows; a file that can't be parsed is an error."""
     runtime.prepare(stored.sparkSession)
     return stored.select("id", "n_bytes", "media").mapInArrow(_digests, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
