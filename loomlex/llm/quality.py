@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import runtime
 
@@ -124,7 +125,7 @@ def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, ratings: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on documents with a rating. ratings: id and grade (whole numbers; nulls don't count, a document rated more
-    than once counts with each rating); ``trains`` is over the column ``id``. None where nothing is rated; over
+    than once counts with each of its grades; of an identifier's texts the one of the least hash); ``trains`` is over the column ``id``. None where nothing is rated; over
     ``MAX_GRADES`` distinct grades are an error."""
     spark = docs.sparkSession
     runtime.prepare(spark)
@@ -140,7 +141,9 @@ def train(docs: DataFrame, ratings: DataFrame, trains: Column, id_col: str = "do
         rate = F.when(F.col("grade") == g, min(1.0, share / n)).otherwise(rate)
     some = rated.where(F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(1 << 40)) < rate * float(1 << 40))
     some = some.orderBy(F.xxhash64(F.lit(29), "id"), "id", "grade").limit(2 * sample_rows)  # the bound, whatever the hashes do
-    rows = runtime.only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text").join(F.broadcast(some), "id").select("grade", F.col("text").cast("string"))
+    rows = runtime.only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text").join(F.broadcast(some), "id").select("id", "grade", F.col("text").cast("string"))
+    one = Window.partitionBy("id", "grade").orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn("turn", F.row_number().over(one)).where("turn = 1").select("grade", "text")
     got = rows.mapInArrow(_rated, "grade int, places binary, values binary").toArrow()
     found = sorted(zip(*(got.column(i).to_pylist() for i in range(3))))
     return fit([(g, np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for g, p, v in found]) if found else None
@@ -167,7 +170,8 @@ def _grader(model: Model | None, wanted: int, least: float):
 def grade(docs: DataFrame, model: Model | None, wanted: int, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, expected_grade, tail_prob (the chance of grade ``wanted`` or more) and kept (that it is at least ``least``)
     of every row, from its whole text. Null and empty texts are graded by their shape; without a model every row has
-    0, 1 and is kept. Repeated rows come out as often; other columns aren't read."""
+    0, 1 and is kept; a chance of just ``least`` is kept. Repeated rows come out as often; an empty table gives no rows;
+    other columns aren't read."""
     runtime.prepare(docs.sparkSession)
     rows = runtime.only(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_grader(model, wanted, least), "id long, expected_grade double, tail_prob double, kept boolean")
