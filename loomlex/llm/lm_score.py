@@ -157,7 +157,8 @@ def lm_scores(docs: DataFrame, trains: Callable[[int | None], bool] = trains, id
     train_tokens, base_score and score: log10 of the chance of the whole text by smoothed counts and by the model.
 
     Null and empty texts are an end alone. Repeated rows are scored, and learnt from, as often as they occur; other
-    columns aren't read; an empty table gives no rows.
+    columns aren't read; an empty table gives no rows. Counts and base_score don't depend on how the table is divided;
+    score does a little, as each task learns a replica from the documents it holds and the replicas are averaged.
     """
     spark = docs.sparkSession
     blocks, buckets = B.build_blocks(docs, split, id_col, text_col, trains)

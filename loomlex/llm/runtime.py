@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,22 +19,26 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and give the workers this package."""
+    """Bound Arrow batches, which are made when a result is read and so must stay bounded, and give the workers this
+    package; its archive goes when the driver ends."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         if os.path.isdir(package):
             top, name = os.path.split(package)
-            zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", top, name)
-            spark.sparkContext.addPyFile(zipped)
+            folder = tempfile.mkdtemp()
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", top, name))
         _shipped.add(app)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set (tests, local mode)."""
+    """The cluster's shared folder; a local one only where none is set and executors are threads of the driver."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("loomlex.scratch", None) or tempfile.mkdtemp(prefix="loomlex-")
         spark.conf.set("loomlex.scratch", root)
     return root.rstrip("/")
@@ -70,6 +76,10 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete all scratch data under the session's shared folder: to be called when no result that reads them is open."""
+    """Delete all scratch data under the session's shared folder and the tables of blocks there: to be called when no
+    result that reads them is open."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("loomlex_blocks_"):
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/loomlex")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -168,6 +169,43 @@ def test_mix(spark):
     assert got.where("taken > 3 * size or taken < 0").count() == 0 and got.count() == len(rows)
 
 
+def test_mix_tells_memberships_apart(spark):
+    """Empty, null and awkward names; no source at all is never taken."""
+    of = [[""], [], [None], ["a\x1fb"], ["a", "b"], ["b", "a"], None, ["a", "a", "b"]]
+    rows = [(k, "w " * 10) for k in range(len(of))]
+    docs = table(spark, rows).drop("source").join(spark.createDataFrame([(k, m) for k, m in enumerate(of)], "doc_id long, source array<string>"), "doc_id")
+    got = {r["id"]: r for r in mixing.mix(docs, members=F.col("source")).collect()}
+    assert len(got) == len(of) and mixing.mix(docs, members=F.col("source")).count() == len(of)
+    assert got[1]["taken"] == got[6]["taken"] == 0 and got[1]["target"] == 0
+    assert got[4]["source_size"] == got[5]["source_size"] == got[7]["source_size"] == 60 and got[3]["source_size"] == 10
+
+
+def least_cost(patterns, quotas, most):
+    """Of all ways to give whole words of patterns to sources, the most words and then the least cost."""
+    best = None
+    ways = [[x for x in itertools.product(range(most * words + 1), repeat=len(m)) if sum(x) <= most * words] for m, words in patterns]
+    for way in itertools.product(*ways):
+        got = [0] * len(quotas)
+        for (m, _), x in zip(patterns, way):
+            for s, n in zip(m, x):
+                got[s] += n
+        if all(g <= q for g, q in zip(got, quotas)):
+            cost = sum(max(0, sum(x) - turn * words) for (_, words), x in zip(patterns, way) for turn in range(1, most))
+            best = min(best or (1, 0), (-sum(got), cost))
+    return best
+
+
+def test_route_against_all_ways():
+    rng = random.Random(6)
+    for _ in range(25):
+        patterns = [((0,), rng.randint(0, 3)), ((0, 1), rng.randint(0, 3)), ((1,), rng.randint(0, 3))]
+        quotas = [rng.randint(0, 7), rng.randint(0, 7)]
+        sent = mixing.route(patterns, quotas, 3)
+        cost = sum(max(0, sum(x) - turn * words) for (_, words), x in zip(patterns, sent) for turn in range(1, 3))
+        assert (-sum(map(sum, sent)), cost) == least_cost(patterns, quotas, 3)
+        assert all(sum(x[m.index(s)] for (m, _), x in zip(patterns, sent) if s in m) <= q for s, q in enumerate(quotas))
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(k, "w " * 10, None, "a,b" if k % 2 else "a") for k in range(40)]
     got = mixing.mix(table(spark, rows), members=F.split("source", ","))
@@ -235,6 +273,22 @@ def test_license_scan(spark):
     assert got[24]["spans"][0]["edits"] == 0
 
 
+def test_many_finds_take_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    def seconds(n):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["Released under the MIT license. " * n])], ["id", "text"])
+        begun = time.perf_counter()
+        (out,) = license_scan._scan(iter([batch]))
+        assert out.column("n_base")[0].as_py() == n and len(out.column("spans")[0]) == n
+        return time.perf_counter() - begun
+
+    seconds(10)
+    assert seconds(16_000) < 8 * seconds(4_000)
+
+
 def test_every_notice_is_found_with_its_edits():
     rng, scanner = random.Random(5), license_scan.Scanner()
     for label, text, edits in license_scan.NOTICES:
@@ -276,6 +330,13 @@ def test_matroska_elements():
     head = data[: data.index(matroska.element_id(matroska.SEGMENT))]
     live = head + matroska.element_id(matroska.SEGMENT) + b"\xff" + matroska.element_id(matroska.CLUSTER) + b"\xff" + matroska.uint(matroska.CLUSTER_TIMESTAMP, 10) + block + matroska.element_id(matroska.CLUSTER) + b"\xff" + matroska.uint(matroska.CLUSTER_TIMESTAMP, 20) + block
     packets = matroska.demux(live).packets
+    assert all(p[3] for p in packets)
+    # a block that refers to another is no key frame; a cue point may name several tracks; tags end a cluster
+    other = matroska.element(matroska.BLOCK_GROUP, matroska.element(matroska.BLOCK, b"\x81\x00\x05\x00abcd") + matroska.element(matroska.REFERENCE_BLOCK, b"\xfb"))
+    where = [matroska.element(matroska.CUE_TRACK_POSITIONS, matroska.uint(matroska.CUE_TRACK, t) + matroska.uint(matroska.CUE_CLUSTER_POSITION, 9)) for t in (1, 2)]
+    cues = matroska.element(matroska.CUES, matroska.element(matroska.CUE_POINT, matroska.uint(matroska.CUE_TIME, 7) + b"".join(where)))
+    more = matroska.demux(live + other + matroska.element(matroska.TAGS, b"") + cues)
+    assert [p[3] for p in more.packets] == [True, True, False] and [c[:2] for c in more.cues] == [(7, 1), (7, 2)]
     assert [(p[1], p[2], live[p[4] : p[4] + p[5]]) for p in packets] == [(15, 4, b"abcd"), (25, 4, b"abcd")]
 
 
@@ -395,6 +456,27 @@ def test_gradients():
         gru.FLOAT = was
 
 
+def test_scores_against_a_plain_recurrence():
+    rng = np.random.default_rng(8)
+    w = gru.start(rng.integers(1, 50, gru.SHORTLIST).astype(float), rng.integers(1, 9, gru.TAIL_CLASSES).astype(float))
+    w = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(gru.FLOAT) for k, v in w.items()}
+    lengths = np.array([70, 1, 33])
+    starts = np.cumsum(lengths) - lengths
+    tokens = rng.integers(0, gru.SHORTLIST + gru.TAIL_CLASSES, lengths.sum()).astype(np.int32)
+    want, n = [], gru.HIDDEN
+    for s, length in zip(starts, lengths):
+        h = np.zeros(n)
+        for t in tokens[s : s + length].tolist():
+            soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+            cls = t // gru.CLASS_WORDS if t < gru.SHORTLIST else t - gru.SHORTLIST + gru.SHORT_CLASSES
+            p = soft(h @ w["wc"] + w["bc"])[cls]
+            want.append(p + (soft(w["wv"][cls] @ h + w["bv"][cls])[t % gru.CLASS_WORDS] if t < gru.SHORTLIST else 0))
+            x, g = w["x"][t] + w["b"], h @ w["u"]
+            z, r = (1 / (1 + np.exp(-(x[a : a + n] + g[a : a + n]))) for a in (0, n))
+            h = h + z * (np.tanh(x[2 * n :] + r * g[2 * n :]) - h)
+    assert np.allclose(gru.score(gru.Network(w), tokens, starts, lengths), want, atol=1e-3)
+
+
 def test_every_training_token_is_learnt_from():
     learnt = Counter()
 
@@ -463,6 +545,41 @@ def test_quality(spark):
     assert quality.train(docs, ratings.limit(0), F.lit(True)) is None
 
 
+def test_grades_against_a_plain_likelihood(spark):
+    """The fit is a least point of the penalised likelihood, and grades follow from its thresholds and weights."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    rows = [(min(2, t.count("a") + t.count("b")), *quality.features(t)) for t in texts]
+    model = quality.fit(rows, rounds=4000, rate=0.002, penalty=1e-3)
+    kept = Counter(p for _, places, _ in rows for p in set(places.tolist()))
+    sizes = Counter(g for g, _, _ in rows)
+
+    def loss(weights, thresholds):
+        total = 0.5e-3 * float(weights.astype(float) @ weights.astype(float))
+        for g, places, values in rows:
+            score = sum(float(weights[p]) * float(v) for p, v in zip(places.tolist(), values.tolist()) if kept[p] >= 3)
+            upto = lambda k: 0.0 if k < 0 else 1.0 if k == 2 else 1 / (1 + math.exp(score - thresholds[k]))
+            total -= math.log(max(upto(g) - upto(g - 1), 1e-12)) / sizes[g] / 3
+        return total
+
+    at = loss(model.weights, model.thresholds)
+    for p in [p for p, n in kept.most_common(6)]:
+        for step in (-0.05, 0.05):
+            moved = model.weights.copy()
+            moved[p] += step
+            assert loss(moved, model.thresholds) > at - 1e-4
+    for k in (0, 1):
+        for step in (-0.05, 0.05):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            assert loss(model.weights, moved) > at - 1e-4
+    got = {r["id"]: r for r in quality.grade(table(spark, list(enumerate(texts))), model, 2).collect()}
+    for k, (_, places, values) in enumerate(rows):
+        score = sum(float(model.weights[p]) * float(v) for p, v in zip(places.tolist(), values.tolist()))
+        upto = [1 / (1 + math.exp(score - t)) for t in model.thresholds]
+        assert abs(got[k]["tail_prob"] - (1 - upto[1])) < 1e-4 and abs(got[k]["expected_grade"] - (2 - sum(upto))) < 1e-4
+
+
 def test_too_many_grades_are_an_error(spark):
     ratings = spark.range(1001).select("id", F.col("id").cast("int").alias("grade"))
     with pytest.raises(ValueError, match="distinct grades"):

@@ -2,6 +2,8 @@ import hashlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loomlex.llm import langid, mixing, near_dups
 
@@ -74,3 +76,18 @@ def test_decisions_hold_when_files_are_divided_anew(spark, tmp_path, stage):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_stages_of_awkward_tables(spark, tmp_path):
+    """Empty tables, and rows of nulls only, beside columns of the names that stages would use."""
+    rows = table(spark, [(None, None), (None, None), (1, None), (2, "")])
+    for k, docs in enumerate((rows.limit(0), rows)):
+        docs.withColumn("loomlex_row", F.lit(5)).withColumn("LOOMLEX_ROW_", F.lit("x")).write.parquet(str(tmp_path / f"docs{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"docs{k}"))
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs, str(tmp_path))
+            n = {"language": 0, "exact_copies": 1, "near_copies": 4, "tokens": 4}.get(name)
+            found = after.collect()
+            assert len(found) == n * k if n is not None else len(found) <= 3 * 4 * k
+            if name != "tokens":
+                assert after.columns == docs.columns and all(r["loomlex_row"] == 5 for r in found)
