@@ -1,6 +1,6 @@
 """The library's queries over the driver's tables, each with SQL that says the same.
 
-The corpus is made from the English documents once for each session and table folder and kept in memory and on disk:
+The corpus is made from all documents once for each session and table folder and kept in memory and on disk:
 an index that queries share, not a result.
 """
 
@@ -20,8 +20,8 @@ from loomlex.operators import export as X
 from loomlex.operators import radial
 from loomlex.plans import matching
 from loomlex.sources import conllu, textprep
-from loomlex.sources.corpus import COPULAS, LEXICON, SUFFIXES, Corpus, tokens_of
-from loomlex.sources.grammar import english
+from loomlex.sources.corpus import COPULAS, LEXICON, SUFFIXES, TOKEN, Corpus, tokens_of
+from loomlex.sources.grammar import CATALOGUE, english
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,7 @@ _corpora: dict[tuple[str, str], Corpus] = {}
 def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _corpora:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
         tokens = tokens_of(docs).persist()
         c = Corpus.of(tokens)
         _corpora[key] = Corpus(tokens, c.freq.persist())
@@ -51,14 +51,14 @@ def query(sql: str | None = None):
 # --- SQL that the oracles share ------------------------------------------------------------------------------------
 
 _CASE = (
-    "CASE WHEN regexp_matches(lw, '^[.!?,;:]$') THEN '.' "
+    "CASE WHEN regexp_matches(lw, '^[.!?,;:]$') THEN '.' WHEN regexp_matches(lw, '^\\p{N}') THEN 'CD' "
     + " ".join(f"WHEN lw IN ({', '.join(repr(w) for w in words)}) THEN '{t}'" for t, words in LEXICON.items())
     + " "
     + " ".join(f"WHEN regexp_matches(lw, '({ends})$') THEN '{t}'" for ends, t in SUFFIXES)
     + " ELSE 'NN' END"
 )
 TOK = f"""
-l AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+|[.!?,;:]') AS a FROM documents WHERE lang = 'en'),
+l AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN[1:-1]}') AS a FROM documents),
 w AS (SELECT doc_id, unnest(range(0, len(a))) AS pos, unnest(a) AS word FROM l),
 x AS (SELECT doc_id, pos, word, lower(word) AS lw FROM w),
 tok AS MATERIALIZED (
@@ -132,9 +132,17 @@ def token_count_by_doc(c: Corpus) -> DataFrame:
     return c.tokens.groupBy("doc_id").agg(F.count("*").alias("tokens"), (F.max("sent_id") + 1).cast("long").alias("sentences"))
 
 
-@query("SELECT i AS ord FROM range(0, 69) r(i)")
+def _listed() -> str:
+    rows = [line.split(" | ", 1) for line in CATALOGUE.strip().splitlines()]
+    return ", ".join(f"({k}, '{i.strip()}', '{p.strip().replace(chr(39), chr(39) * 2)}')" for k, (i, p) in enumerate(rows))
+
+
+@query(f"""SELECT CAST(ord AS BIGINT) AS ord, id, pattern, CASE WHEN id LIKE 'dep\\_%' ESCAPE '\\' THEN 'dep' ELSE 'surface' END AS type,
+  CASE WHEN id LIKE 'dep\\_%' ESCAPE '\\' AND position('1:' IN pattern) = 0 THEN 1 WHEN position('1:' IN pattern) = 0 THEN 1
+  ELSE len(regexp_extract_all(split_part(pattern, '1:', 1), '\\[[^\\]]*\\]|"[^"]*"')) + 1 END AS head_position
+  FROM (VALUES {_listed()}) r(ord, id, pattern)""")
 def relations_order(c: Corpus) -> DataFrame:
-    return english().table(c.tokens.sparkSession).select(F.col("ord").cast("long"))
+    return english().table(c.tokens.sparkSession).select(F.col("ord").cast("long"), "id", "pattern", "type", F.col("head_position").cast("long"))
 
 
 # --- collocates ------------------------------------------------------------------------------------------------------
@@ -484,5 +492,5 @@ def _speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["conversation_tags"] = _speech
 ORACLES["conversation_tags"] = f"""
-WITH l AS (SELECT role, regexp_extract_all(text, '[A-Za-z]+|[.!?,;:]') AS a FROM conversations), x AS (SELECT role, lower(unnest(a)) AS lw FROM l)
+WITH l AS (SELECT role, regexp_extract_all(text, '{TOKEN[1:-1]}') AS a FROM conversations), x AS (SELECT role, lower(unnest(a)) AS lw FROM l)
 SELECT role, {_CASE} AS xpos, count(*) AS n FROM x GROUP BY ALL"""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 COLUMNS = ["doc_id", "sent_id", "pos", "wordnum", "word", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc"]
-TOKEN = r"([A-Za-z]+|[.!?,;:])"
+#: Words of any script, numbers, and marks that sentences and clauses end with.
+TOKEN = r"([\p{L}\p{M}]+|\p{N}+|[.!?,;:])"
 #: Function words of the rule tagger.
 LEXICON = {
     "DT": ("the", "a", "an", "this"),
@@ -28,7 +29,7 @@ COPULAS = ("is", "was", "are", "be")
 
 def tag(lower: Column) -> Column:
     """The tag of a word in lower case, by the first rule that fits."""
-    out = F.when(lower.rlike("^[.!?,;:]$"), ".")
+    out = F.when(lower.rlike("^[.!?,;:]$"), ".").when(lower.rlike(r"^\p{N}"), "CD")
     for t, words in LEXICON.items():
         out = out.when(lower.isin(*words), t)
     for ends, t in SUFFIXES:
@@ -38,7 +39,7 @@ def tag(lower: Column) -> Column:
 
 def universal(xpos: Column) -> Column:
     out = F.when(xpos == ".", "PUNCT")
-    for start, name in (("NN", "NOUN"), ("VB", "VERB"), ("JJ", "ADJ"), ("RB", "ADV"), ("DT", "DET"), ("IN", "ADP"), ("TO", "PART"), ("CC", "CCONJ"), ("PRP", "PRON")):
+    for start, name in (("NN", "NOUN"), ("VB", "VERB"), ("JJ", "ADJ"), ("RB", "ADV"), ("DT", "DET"), ("IN", "ADP"), ("TO", "PART"), ("CC", "CCONJ"), ("PRP", "PRON"), ("CD", "NUM")):
         out = out.when(xpos.startswith(start), name)
     return out.otherwise("X")
 
