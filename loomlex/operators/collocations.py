@@ -48,7 +48,7 @@ def ranked(rows: DataFrame, top: int | None, by: tuple[str, ...] = ("rel", "head
 
 def collocates(corpus: Corpus, patterns: Mapping[str, str | bcql.Pattern], heads: list[str] | DataFrame | None = None, min_log_dice: float = 0.0, top: int | None = SKETCH_TOP, scope: str = "doc") -> DataFrame:
     """Ranked collocates of all patterns in one plan. heads: lemmas, a table with a column ``head``, or all."""
-    pairs = joint(matching.matches(corpus.tokens, patterns, scope))
+    pairs = joint(matching.matches(corpus.tokens, patterns, scope, heads=heads if isinstance(heads, list) and heads else None))
     pairs = of_heads(pairs, heads)
     rows = ranked(scored(pairs, corpus.freq, min_log_dice), top)
     return rows.select("rel", "head", "collocate", "pos", "freq", "head_freq", "coll_freq", "log_dice", F.round(scoring.relative_frequency("freq", "head_freq"), DIGITS).alias("relative_freq"), "rank")

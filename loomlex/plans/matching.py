@@ -69,12 +69,14 @@ def longest_runs(tokens: DataFrame, pattern: bcql.Pattern, scope: str) -> dict:
     return longest
 
 
-def matches(tokens: DataFrame, patterns: Mapping[str, bcql.Pattern | str], scope: str = "doc", carry: tuple[str, ...] = ("lemma", "xpos")) -> DataFrame:
+def matches(tokens: DataFrame, patterns: Mapping[str, bcql.Pattern | str], scope: str = "doc", carry: tuple[str, ...] = ("lemma", "xpos"), heads: list[str] | None = None) -> DataFrame:
     """Hits of all patterns: rel, doc_id, start, end (exclusive), and for the labels 1, 2 and 3 their position and
     ``carry``ed annotations (pos_1, lemma_1, xpos_1, ...), null where a pattern lacks the label. A hit that several
     forms of a pattern give counts once. scope: ``doc`` lets hits cross sentences, ``sentence`` doesn't. An open
     repetition reaches as far as the tokens go, for which they are read once more; a pattern that then has too many
     forms is a PatternError. A pattern of two tokens and an arrow between them gives the span from one to the other.
+    heads: only hits whose token labelled 1 has one of these lemmas; where each form has that label, no more is read
+    than the tokens that a form can reach from such a one.
     """
     parsed = {k: bcql.parse(p) if isinstance(p, str) else p for k, p in patterns.items()}
     arrows = [arrow_matches(tokens, k, p, carry) for k, p in parsed.items() if bcql.arrow_of(p)]
@@ -88,6 +90,12 @@ def matches(tokens: DataFrame, patterns: Mapping[str, bcql.Pattern | str], scope
             for _, c in v.places:
                 for part in _flat(c):
                     bits.setdefault(part, len(bits))
+    near = heads is not None and "lemma" in carry and all("1" in dict(v.labels) for vs in forms.values() for v in vs)
+    if near:
+        heads = [h.lower() for h in heads]
+        reach = max(v.length for vs in forms.values() for v in vs) - 1
+        at = tokens.where(F.lower("lemma").isin(*heads)).select("doc_id", F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach)).alias("pos"))
+        tokens = tokens.join(at.distinct(), ["doc_id", "pos"], "left_semi")
     masks = -(-max(1, len(bits)) // BITS)
     columns = {c: F.col(c) for c in tokens.columns}
     most = max(v.length for vs in forms.values() for v in vs)
@@ -131,6 +139,8 @@ def matches(tokens: DataFrame, patterns: Mapping[str, bcql.Pattern | str], scope
             test = reduce(lambda a, b: a | b, tests)
             if scope == "sentence" or parsed[name].sentence:
                 test &= F.col("t0.sent_id") == F.col(f"t{length - 1}.sent_id")
+            if near:  # what stands between two heads' reaches is not there
+                test &= (F.col(f"t{length - 1}.pos") == F.col("t0.pos") + (length - 1)) & F.lower(F.col(f"t{places['1']}.lemma")).isin(*heads)
             for g in parsed[name].agreements:
                 a, b = (F.lower(F.col(f"t{places[x]}.{n}")) for x, n in ((g.left, g.left_name), (g.right, g.right_name)))
                 test &= (a == b) if g.equal else (a != b)
