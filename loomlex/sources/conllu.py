@@ -13,15 +13,15 @@ SENTENCES_A_DOCUMENT = 10_000
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """source, ord and value: a row for each record between blank lines. Files are split, so large ones are read by
+    """source (the whole path), ord and value: a row for each record between blank lines. Files are split, so large ones are read by
     many tasks; ``ord`` orders the records of a file."""
     rows = spark.read.option("lineSep", "\n\n").text(path)
-    return rows.select(F.col("_metadata.file_name").alias("source"), F.monotonically_increasing_id().alias("ord"), F.col("value"))
+    return rows.select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("ord"), F.col("value"))
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """As ``read``, for files with CRLF or with blanks in their empty lines: each file is one value first."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
     clean = F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"\n[ \t]*\n\s*?", "\n\n")
     return rows.select("source", F.posexplode(F.split(clean, "\n\n")).alias("ord", "value"))
 
@@ -35,10 +35,16 @@ def parse(records: DataFrame, sentences: int = SENTENCES_A_DOCUMENT) -> DataFram
     """The token table of records (source, ord, value). ``sentences`` of them make a document. Records without tokens
     are no sentence; a line with fewer columns passes through with nulls, as does one without any tab as a word."""
     rows = records.withColumn("lines", lines_of(F.col("value"))).where(F.size("lines") > 0)
-    # sentences are numbered within their file: two counts, over partitions and then within them, need no single task
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("ord")) - 1)
+    # a file's sentences are numbered within the parts that tasks have read, after those of the parts before: the high
+    # bits of ``ord`` name a part
+    rows = rows.withColumn("part", F.shiftright("ord", 33))
+    parts = rows.groupBy("source", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("source", "part").orderBy("ord")) - 1).join(parts, ["source", "part"])
+    rows = rows.withColumn("n", F.col("n") + F.col("offset"))
     rows = rows.withColumn("sent_id", (F.col("n") % sentences).cast("int")).withColumn("chunk", F.floor(F.col("n") / sentences))
-    rows = rows.withColumn("doc_id", F.xxhash64("source").bitwiseAND(F.lit((1 << 40) - 1)) * (1 << 20) + F.col("chunk"))
+    rows = rows.withColumn("doc_id", F.xxhash64("source").bitwiseAND(F.lit((1 << 43) - 1)) * (1 << 20) + F.col("chunk"))
     before = Window.partitionBy("doc_id").orderBy("sent_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum(F.size("lines")).over(before), F.lit(0)))
     rows = rows.select("doc_id", "sent_id", "start", F.posexplode("lines").alias("k", "line"))
