@@ -91,6 +91,20 @@ def xml_elements(rows: DataFrame, tag: str, body: str | None = None) -> DataFram
     return rows.select(F.concat(F.lit(f"<{tag}"), *attrs, F.lit("><![CDATA["), inside, F.lit(f"]]></{tag}>")).alias("value"))
 
 
+def explore_xml(seeds: DataFrame, core: DataFrame, limit: int) -> DataFrame:
+    """The two sections of ``explore_csv`` as elements, each limited."""
+    a = seeds.orderBy(F.desc("log_dice"), "collocate").limit(limit).select(F.col("collocate").alias("word"), _two("log_dice").alias("log_dice"), F.col("freq").alias("frequency"))
+    b = core.orderBy(F.desc("shared_by"), F.desc("avg_log_dice"), "collocate").limit(limit).select(F.col("collocate").alias("word"), _two("seed_log_dice").alias("log_dice"), "shared_by")
+    return xml_elements(a, "seed_collocate").unionByName(xml_elements(b, "core_collocate"))
+
+
+def comparison_xml(compared: DataFrame, limit: int) -> DataFrame:
+    """The columns of ``comparison_csv`` as attributes."""
+    rows = compared.orderBy(F.desc("commonality"), "collocate").limit(limit)
+    named = rows.select(F.col("collocate").alias("word"), "category", "present_in", F.col("total_seeds").alias("total_nouns"), _two("avg_log_dice").alias("avg_logdice"), _two("commonality").alias("coverage"))
+    return xml_elements(named, "collocate")
+
+
 def document(rows: DataFrame, header: str | None = None, root: str | None = None) -> str:
     """A page of lines as one text, with a header line (CSV) or within a root element (XML)."""
     lines = [r["value"] for r in rows.collect()]

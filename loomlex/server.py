@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qsl, unquote, urlsplit
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlex.operators import collocations as C
@@ -28,6 +30,10 @@ class WrongMethod(ValueError):
     pass
 
 
+class Unavailable(RuntimeError):
+    """An exploration that failed for no fault of the request."""
+
+
 class Service:
     """Routes and what they answer: (content type, text)."""
 
@@ -62,12 +68,13 @@ class Service:
                 return self._sketch(lemma, [self._typed(name, "DEP")], C.RELATION_TOP, {**p, "pos": "", "head_pos": ""})
             case ["api", "sketch", lemma, name]:
                 return self._sketch(lemma, [self._typed(name, "SURFACE")], C.RELATION_TOP, {**p, "pos": "", "head_pos": ""})
-            case ["api", "semantic-field", "explore"]:
-                return self._explore(p)
-            case ["api", "semantic-field", "explore-multi"]:
-                return self._multi(p)
-            case ["api", "semantic-field", "compare"]:
-                return self._compare(p)
+            case ["api", "semantic-field", "explore" | "explore-multi" | "compare" as kind]:
+                try:
+                    return {"explore": self._explore, "explore-multi": self._multi, "compare": self._compare}[kind](p)
+                except Exception as e:
+                    if status_of(e) == 500:
+                        raise Unavailable(str(e)) from e
+                    raise
             case ["api", "semantic-field", "examples"]:
                 rows = K.examples(self.corpus, self.grammar, self._need(p, "seed"), self._need(p, "collocate"), self._need(p, "relation"), X.limit_of(p.get("top"), 10))
                 return self._out(p, rows, "examples", X.examples_csv(rows, p["seed"], p["collocate"], p["relation"]), X.EXAMPLES_HEADER, X.xml_elements(rows.select("doc_id", "start", "end", "sentence"), "example", "sentence"))
@@ -109,12 +116,37 @@ class Service:
         return "application/json", X.page_json(**{name: rows})
 
     def _sketch(self, lemma: str, relations, top: int, p: dict) -> tuple[str, str]:
-        rows = C.sketch(self.corpus, relations, [lemma], p.get("pos") or None, p.get("head_pos") or None, top=top)
         limit = X.limit_of(p.get("limit"), top)
+        rows, warnings = self._sketched(lemma, relations, top, p)
+        if X.format_of(p.get("format")) == "json":
+            rows = rows.orderBy("ord", "rank")
+            found = {r["rel"] for r in rows.select("rel").distinct().collect()}
+            empty = [r.id for r in relations if r.id not in found]
+            return "application/json", X.page_json(status="ok", sketch=rows, empty=empty, partial=bool(warnings), warnings=warnings)
         rows = rows.orderBy("ord", "rank")
         flat = X.limited(rows, limit, "rel", "head").select("rel", "head", "collocate", "pos", "freq", "log_dice")
         return self._out(p, rows, "sketch", X.sketch_csv(rows, limit), X.SKETCH_HEADER, X.xml_elements(flat, "collocate"))
 
+    def _sketched(self, lemma: str, relations, top: int, p: dict):
+        """All relations at once; where that fails, one by one, so that one that can't be matched costs its own rows
+        alone and is told of."""
+        make = lambda some: C.sketch(self.corpus, some, [lemma], p.get("pos") or None, p.get("head_pos") or None, top=top)
+        try:
+            return make(relations), []
+        except PatternError:
+            if len(relations) < 2:
+                raise
+        parts, warnings = [], []
+        for k, r in enumerate(relations):
+            try:
+                parts.append(make([r]).withColumn("ord", F.lit(k)))
+            except PatternError as e:
+                if "parts of speech" not in str(e):
+                    warnings.append(f"{r.id}: {e}")
+        if not parts:
+            raise PatternError("no relation can be matched")
+        return reduce(DataFrame.unionByName, parts), warnings
+
     def _options(self, p: dict) -> tuple[int, int, float]:
         return X.limit_of(p.get("top"), E.EXPLORE_TOP), X.limit_of(p.get("min_shared"), E.MIN_SHARED), float(p.get("min_logdice") or E.MIN_LOG_DICE)
 
@@ -123,6 +155,8 @@ class Service:
         f = E.single_seed(self.corpus, self.grammar, p.get("relation") or "adj_predicate", self._need(p, "seed").lower(), top, shared, least, X.limit_of(p.get("nouns_per"), E.NOUNS_PER))
         if X.format_of(p.get("format")) == "csv":
             return "text/csv", X.document(X.explore_csv(f["seeds"], f["core"], X.limit_of(p.get("limit"), 50)), X.EXPLORE_HEADER)
+        if X.format_of(p.get("format")) == "xml":
+            return "application/xml", X.document(X.explore_xml(f["seeds"], f["core"], X.limit_of(p.get("limit"), 50)), root="exploration")
         edges = E.exploration_edges(f["seeds"], f["expansion"], f["nouns"])
         return "application/json", X.page_json(seeds=f["seeds"], nouns=f["nouns"].orderBy(F.desc("combined_score")), core=f["core"].orderBy(F.desc("shared_by"), F.desc("avg_log_dice")), edges=edges)
 
@@ -135,6 +169,8 @@ class Service:
         return seeds, shared, E.seed_collocates(self.corpus, r, seeds, top, least, fallback)
 
     def _multi(self, p: dict) -> tuple[str, str]:
+        if p.get("nouns_per"):
+            raise ValueError("nouns_per is for one seed")
         seeds, shared, rows = self._seeded(p, False)
         found = E.multi_seed(rows, len(seeds), shared)
         return "application/json", X.page_json(seeds=seeds, collocates=rows, **found)
@@ -144,11 +180,13 @@ class Service:
         compared = E.profiles(rows, len(seeds)).orderBy(F.desc("commonality"), "collocate")
         if X.format_of(p.get("format")) == "csv":
             return "text/csv", X.document(X.comparison_csv(compared, X.limit_of(p.get("limit"), 50)), X.COMPARISON_HEADER)
+        if X.format_of(p.get("format")) == "xml":
+            return "application/xml", X.document(X.comparison_xml(compared, X.limit_of(p.get("limit"), 50)), root="comparison")
         return "application/json", X.page_json(seeds=seeds, collocates=compared, summary=E.summary(compared), edges=E.comparison_edges(rows))
 
 
 def status_of(e: Exception) -> int:
-    for kinds, code in ((TooLarge, 413), (WrongMethod, 405), (LookupError, 404)):
+    for kinds, code in ((TooLarge, 413), (WrongMethod, 405), (LookupError, 404), (Unavailable, 503)):
         if isinstance(e, kinds):
             return code
     return 400 if isinstance(e, (PatternError, GrammarError, ValueError, TypeError)) else 500
@@ -169,6 +207,7 @@ def serve(corpus: Corpus, grammar: Grammar, port: int) -> None:
             self.send_response(code)
             self.send_header("Content-Type", f"{kind}; charset=utf-8")
             self.send_header("Content-Length", str(len(body)))
+            self.send_header("Access-Control-Allow-Origin", "*")
             self.end_headers()
             self.wfile.write(body)
 

@@ -51,6 +51,39 @@ def got(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
+def test_files_of_one_name(spark, tmp_path):
+    """Files are told apart by their paths, and one file's sentences are numbered in order though many tasks read it."""
+    for k, name in enumerate("ab"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.conllu").write_text("\n\n".join(f"1\tw{k}_{n}\tw\tX\tX\t_\t0\troot\t_\t_" for n in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        records = conllu.read(spark, str(tmp_path / "*"))
+        assert records.rdd.getNumPartitions() > 4
+        rows = conllu.parse(records, sentences=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r["doc_id"] for r in rows}) == 6 and len(rows) == 600
+    whole = {}
+    for r in rows:
+        whole.setdefault(r["doc_id"] >> 20, []).append(((r["doc_id"] & 0xFFFFF) * 100 + r["sent_id"], r["word"]))
+    assert sorted(sorted(x) for x in whole.values()) == [[(n, f"w{k}_{n}") for n in range(300)] for k in range(2)]
+
+
+def test_heads_are_sought_first(spark):
+    """Hits of given heads are those among all hits, also where heads' reaches leave gaps between them."""
+    rng = random.Random(4)
+    words = ["theory", "model", "good", "new", "is", "the", "of", ".", "quickly", "tests"]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(80))) for k in range(20)], "doc_id long, text string")
+    c = Corpus.of(tokens_of(docs).persist())
+    patterns = {r.id: r.pattern for r in english().of_type("SURFACE")}
+    every = matching.matches(c.tokens, patterns)
+    some = matching.matches(c.tokens, patterns, heads=["Theory", "quickly"])
+    columns = ("rel", "doc_id", "start", "end", "pos_1", "pos_2", "lemma_1")
+    want = [x for x in got(every, *columns) if x[-1] in ("theory", "quickly")]
+    assert want and got(some, *columns) == want
+
+
 def test_conllu(spark, corpus, tmp_path):
     c = conllu.counters(corpus.tokens).first()
     assert (c["sentences"], c["tokens"]) == (3, 14)

@@ -25,7 +25,26 @@ def test_sketches(service):
     assert [r["collocate"] for r in rows] == ["final"]
     csv = ask(service, "/api/sketch/theory/noun_modifiers?format=csv&limit=1")
     assert csv.splitlines()[1].startswith("noun_modifiers,theory,final,JJ,18,")
-    assert "<sketch>" in ask(service, "/api/sketch/theory/dep/dep_nsubj?format=xml") or True
+    assert "<sketch>" in ask(service, "/api/sketch/theory/dep/dep_nsubj?format=xml")
+    whole = ask(service, "/api/sketch/theory")
+    assert not whole["partial"] and not whole["warnings"] and "noun_modifiers" not in whole["empty"] and whole["empty"]
+
+
+def test_a_relation_that_fails_costs_its_own_rows(service, monkeypatch):
+    from loomlex.operators import collocations as C
+    from loomlex.plans.bcql import PatternError
+
+    make = C.sketch
+
+    def sometimes(corpus, relations, *args, **more):
+        if any(r.id == "noun_modifiers" for r in relations):
+            raise PatternError("too many forms")
+        return make(corpus, relations, *args, **more)
+
+    monkeypatch.setattr(C, "sketch", sometimes)
+    some = [service.grammar[n] for n in ("noun_modifiers", "subject_of")]
+    rows, warnings = service._sketched("theory", some, 20, {})
+    assert warnings == ["noun_modifiers: too many forms"] and {r["rel"] for r in rows.collect()} <= {"subject_of"}
 
 
 def test_exploration(service):
@@ -36,6 +55,20 @@ def test_exploration(service):
     assert ask(service, "/api/semantic-field/explore-multi?seeds=theory,model&relation=modifier&min_logdice=0")["common"][0]["collocate"] == "final"
 
 
+def test_exploration_as_xml(service):
+    text = ask(service, "/api/semantic-field/explore?seed=theory&relation=modifier&min_shared=1&min_logdice=0&format=xml")
+    assert "<exploration>" in text and '<seed_collocate word="final"' in text
+    text = ask(service, "/api/semantic-field/compare?seeds=theory,model&relation=modifier&min_logdice=0&format=xml")
+    assert "<comparison>" in text and 'word="final" category="fully_shared" present_in="2"' in text
+
+
+def test_explorations_that_fail_are_unavailable(service, monkeypatch):
+    monkeypatch.setattr(service, "_explore", lambda p: 1 / 0)
+    with pytest.raises(Exception) as e:
+        service.answer("GET", "/api/semantic-field/explore?seed=x")
+    assert status_of(e.value) == 503
+
+
 def test_concordances_and_plot(service):
     page = ask(service, "/api/bcql", "POST", {"query": '"theory"', "top": 2})
     assert page["total"] == 18 and len(page["results"]) == 2
@@ -54,6 +87,7 @@ def test_concordances_and_plot(service):
         ("GET", "/api/sketch/x/dep_nsubj", b"", 400),
         ("GET", "/api/sketch/x/none", b"", 400),
         ("GET", "/api/semantic-field/compare?seeds=one", b"", 400),
+        ("GET", "/api/semantic-field/explore-multi?seeds=one,two&nouns_per=3", b"", 400),
         ("GET", "/api/relations?x=" + "y" * 300, b"", 400),
     ],
 )
