@@ -16,6 +16,8 @@ from loomlex.sources.grammar import Relation
 #: Scores are rounded before they rank, so that engines agree on ties.
 DIGITS = 6
 SKETCH_TOP, RELATION_TOP = 20, 50
+#: Heads of a table that are sought as a list is: first, and then what is near them.
+FEW_HEADS = 100
 
 
 def joint(hits: DataFrame) -> DataFrame:
@@ -48,6 +50,9 @@ def ranked(rows: DataFrame, top: int | None, by: tuple[str, ...] = ("rel", "head
 
 def collocates(corpus: Corpus, patterns: Mapping[str, str | bcql.Pattern], heads: list[str] | DataFrame | None = None, min_log_dice: float = 0.0, top: int | None = SKETCH_TOP, scope: str = "doc") -> DataFrame:
     """Ranked collocates of all patterns in one plan. heads: lemmas, a table with a column ``head``, or all."""
+    if isinstance(heads, DataFrame):
+        few = [r["head"] for r in heads.select("head").distinct().limit(FEW_HEADS + 1).collect()]
+        heads = few if len(few) <= FEW_HEADS else heads
     pairs = joint(matching.matches(corpus.tokens, patterns, scope, heads=heads if isinstance(heads, list) and heads else None))
     pairs = of_heads(pairs, heads)
     rows = ranked(scored(pairs, corpus.freq, min_log_dice), top)
