@@ -122,9 +122,13 @@ def word_rows(blocks: DataFrame) -> DataFrame:
 SALT_BLOCKS = 1 << 16
 
 
-def salted(blocks: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with a column salt: one value as long as there are at most SALT_BLOCKS blocks."""
-    salts = -(-blocks.count() // SALT_BLOCKS)
+def salts(blocks: DataFrame) -> int:
+    """How many parts a word's rows are dealt to: one as long as there are at most SALT_BLOCKS blocks."""
+    return max(1, -(-blocks.count() // SALT_BLOCKS))
+
+
+def salted(rows: DataFrame, salts: int) -> DataFrame:
+    """``rows`` with a column salt, the part of their block."""
     return rows.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int") if salts > 1 else F.lit(0))
 
 

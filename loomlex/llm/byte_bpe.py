@@ -189,7 +189,7 @@ def split_by(pattern: str) -> Callable[[list], list[list[str]]]:
 def encode_blocks(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """block, place and ids of each distinct word of a block; a word is encoded at the first of its rows, and the rest
     of them take it from there."""
-    rows = B.salted(blocks, B.word_rows(blocks).select("word", "block", "place"))
+    rows = B.salted(B.word_rows(blocks).select("word", "block", "place"), B.salts(blocks))
     same = Window.partitionBy("word", "salt").orderBy("block")
     rows = rows.withColumn("n", F.row_number().over(same))
     rows = rows.withColumn("own", F.when(F.col("n") == 1, encode_word(F.col("word"), Literals(ranks))))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -152,6 +152,10 @@ def _score(weights: dict[str, np.ndarray], vocabulary: Vocabulary):
     return score
 
 
+def _tail() -> Column:
+    return F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(gru.TAIL_CLASSES)).cast("int")
+
+
 def lm_scores(docs: DataFrame, trains: Callable[[int | None], bool] = trains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out (not learnt from), n_tokens (words and one end), n_known (of them counted in training),
     train_tokens, base_score and score: log10 of the chance of the whole text by smoothed counts and by the model.
@@ -162,11 +166,18 @@ def lm_scores(docs: DataFrame, trains: Callable[[int | None], bool] = trains, id
     """
     spark = docs.sparkSession
     blocks, buckets = B.build_blocks(docs, split, id_col, text_col, trains)
-    rows = B.word_rows(blocks).withColumn("tail", F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(gru.TAIL_CLASSES)).cast("int"))
-    same = Window.partitionBy("word")
+    salts = B.salts(blocks)
+    rows = B.salted(B.word_rows(blocks), salts).withColumn("tail", _tail())
+    same = Window.partitionBy("word", "salt")
     rows = rows.withColumn("n", F.row_number().over(same.orderBy("block"))).withColumn("c", F.sum("count").over(same)).drop("count")
     rows = runtime.materialise(rows, "words")
-    once = rows.where("n = 1 and c > 0")
+    once = rows.where("n = 1")
+    if salts > 1:
+        # a word's parts are added up, and the sum goes to each part's rows
+        sums = runtime.materialise(once.groupBy("word").agg(F.sum("c").alias("c")), "sums")
+        parts = runtime.materialise(once.select("word", "salt").join(sums, "word"), "parts")
+        rows, once = rows.drop("c").join(parts, ["word", "salt"]), sums.withColumn("tail", _tail())
+    once = once.where("c > 0")
     totals = once.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()
     ends = sum(r["n"] for r in blocks.select("payload").mapInArrow(_training_documents, "n long").agg(F.sum("n").alias("n")).collect() if r["n"])
     best = once.orderBy(F.desc("c"), "word").select("word", "c", "tail").limit(gru.SHORTLIST - 1).collect()

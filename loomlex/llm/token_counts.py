@@ -79,6 +79,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     other columns aren't read."""
     blocks, buckets = B.build_blocks(docs, splitter(tokenizer_path), id_col, text_col, block_bytes=block_bytes)
     rows = B.word_rows(blocks)
-    near = B.salted(blocks, rows).select("word", "block", "place", "salt").repartition("word", "salt").sortWithinPartitions("word")
+    near = B.salted(rows, B.salts(blocks)).select("word", "block", "place", "salt").repartition("word", "salt").sortWithinPartitions("word")
     found = near.mapInArrow(_pieces(tokenizer_path), "block long, place int, pieces int")
     return B.by_block(blocks, buckets, found, _sums, "id long, n_bytes long, n_tokens long")

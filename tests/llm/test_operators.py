@@ -502,7 +502,9 @@ def test_large_weights_keep_chances_proper():
     assert np.isfinite(out).all() and abs(np.exp(out.astype(float)).sum() - 1) < 1e-3
 
 
-def test_lm_scores(spark):
+@pytest.mark.parametrize("salt_blocks", [lm_score.B.SALT_BLOCKS, 2])
+def test_lm_scores(spark, monkeypatch, salt_blocks):
+    monkeypatch.setattr(lm_score.B, "SALT_BLOCKS", salt_blocks)
     rng = random.Random(2)
     rows = [(k, " ".join(speech(rng, rng.choice(["en", "fr"])).upper() for _ in range(4))) for k in range(120)] + AWKWARD
     got = lm_score.lm_scores(table(spark, rows)).collect()
