@@ -1,21 +1,21 @@
 """A gated recurrent language model in numpy: truncated backpropagation, a softmax factored by classes, and states
 that go on from window to window until a document ends.
 
-Inputs are shortlisted words (numbers below ``shortlist``) and classes of all other words. The softmax is over
-classes: those of the shortlist, within which the network chooses words, and those of other words, within which
-words keep their relative frequencies.
+Symbols are shortlisted words (numbers below SHORTLIST) and kinds of all other words, within which words keep their
+relative frequencies. The softmax is over classes of CLASS_WORDS symbols each, then over the symbols of one class.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Words with weights of their own, in classes of CLASS_WORDS by frequency; classes of all other words.
+#: Words with weights of their own, in classes of CLASS_WORDS by frequency; kinds of all other words, in classes of
+#: as many.
 CLASS_WORDS = 32
 SHORT_CLASSES = 32
 SHORTLIST = CLASS_WORDS * SHORT_CLASSES
 TAIL_CLASSES = 96
-CLASSES = SHORT_CLASSES + TAIL_CLASSES
+CLASSES = (SHORTLIST + TAIL_CLASSES) // CLASS_WORDS
 HIDDEN = 16
 #: Tokens of a window; every window is learnt from, and states pass on from one to the next.
 WINDOW = 16
@@ -26,10 +26,10 @@ FLOAT = np.float32
 def start(word_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     """Weights that give each word its frequency: words without counts get next to nothing."""
     rng = np.random.default_rng(seed)
-    counts = np.zeros(SHORTLIST)
-    counts[: len(word_counts)] = word_counts
-    table = np.maximum(counts.reshape(SHORT_CLASSES, CLASS_WORDS), 1e-9)
-    classes = np.maximum(np.concatenate([counts.reshape(SHORT_CLASSES, CLASS_WORDS).sum(1), tail_counts]), 1e-6)
+    counts = np.zeros(SHORTLIST + TAIL_CLASSES)
+    counts[: len(word_counts)], counts[SHORTLIST:] = word_counts, tail_counts
+    table = np.maximum(counts, 1e-6).reshape(CLASSES, CLASS_WORDS)
+    classes = table.sum(1)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(FLOAT)
     return {
         "x": small(SHORTLIST + TAIL_CLASSES, 3 * HIDDEN),
@@ -37,8 +37,8 @@ def start(word_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 5) -> di
         "b": np.zeros(3 * HIDDEN, FLOAT),
         "wc": small(HIDDEN, CLASSES),
         "bc": np.log(classes / classes.sum()).astype(FLOAT),
-        "wv": small(SHORT_CLASSES, CLASS_WORDS, HIDDEN),
-        "bv": np.log(table / table.sum(1, keepdims=True)).astype(FLOAT),
+        "wv": small(CLASSES, CLASS_WORDS, HIDDEN),
+        "bv": np.log(table / classes[:, None]).astype(FLOAT),
     }
 
 
@@ -129,47 +129,46 @@ class Network:
         return states, h, kept
 
     def output(self, states: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None):
-        """Natural log of the chance of each target: of its class and, in the shortlist, of the word in it. With
-        ``grads`` the gradients are added and those of the states returned."""
+        """Natural log of the chance of each target: of its class and of the symbol in it. With ``grads`` the gradients
+        are added and those of the states returned."""
         w = self.w
-        cls = np.where(targets < SHORTLIST, targets // CLASS_WORDS, targets - SHORTLIST + SHORT_CLASSES)
-        at = np.arange(len(cls)), cls
+        cls = (targets // CLASS_WORDS).astype(np.uint8)
+        # rows by class, so that a class's symbols are one product; small numbers are sorted by radix
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        some = [(k, i, j) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        rows = np.arange(len(order))
+        of_class, of_symbol = (rows, cls[order]), (rows, targets[order] % CLASS_WORDS)
         # a column of ones takes the biases and their gradients along in the products
-        s = np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
+        s = np.ones((len(order), HIDDEN + 1), states.dtype)
+        s[:, :-1] = states[order]
         logits = s @ np.concatenate([w["wc"], w["bc"][None]])
-        out, total = _normalise(logits, at)
-        back = None
-        if grads is not None:
-            logits *= (1 / total)[:, None]
-            logits[at] -= 1
-            g = s.T @ logits
-            grads["wc"] += g[:-1]
-            grads["bc"] += g[-1]
-            back = logits @ w["wc"].T
-        # rows by class, so that a class's words are one product; 16 bits are sorted by radix
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(SHORT_CLASSES + 1)).tolist()
-        order = order[: cuts[-1]]
-        some = [(k, cuts[k], cuts[k + 1]) for k in range(SHORT_CLASSES) if cuts[k] < cuts[k + 1]]
-        if not some:
-            return out, back
-        s, at = s[order], (np.arange(len(order)), targets[order] % CLASS_WORDS)
-        inner = np.empty((len(order), CLASS_WORDS), states.dtype)
         words = np.concatenate([w["wv"], w["bv"][..., None]], 2)
+        inner = np.empty((len(order), CLASS_WORDS), states.dtype)
         for k, i, j in some:
             np.matmul(s[i:j], words[k].T, out=inner[i:j])
-        mine, total = _normalise(inner, at)
-        out[order] += mine
-        if grads is not None:
-            inner *= (1 / total)[:, None]
-            inner[at] -= 1
-            more = np.empty((len(order), HIDDEN), states.dtype)
-            for k, i, j in some:
-                g = inner[i:j].T @ s[i:j]
-                grads["wv"][k] += g[:, :-1]
-                grads["bv"][k] += g[:, -1]
-                np.matmul(inner[i:j], w["wv"][k], out=more[i:j])
-            back[order] += more
+        own, total = _normalise(logits, of_class)
+        mine, inner_total = _normalise(inner, of_symbol)
+        out = np.empty(len(order), own.dtype)
+        out[order] = own + mine
+        if grads is None:
+            return out, None
+        logits *= (1 / total)[:, None]
+        logits[of_class] -= 1
+        g = s.T @ logits
+        grads["wc"] += g[:-1]
+        grads["bc"] += g[-1]
+        inner *= (1 / inner_total)[:, None]
+        inner[of_symbol] -= 1
+        more = np.empty((len(order), HIDDEN), states.dtype)
+        for k, i, j in some:
+            g = inner[i:j].T @ s[i:j]
+            grads["wv"][k] += g[:, :-1]
+            grads["bv"][k] += g[:, -1]
+            np.matmul(inner[i:j], w["wv"][k], out=more[i:j])
+        more += logits @ w["wc"].T
+        back = np.empty_like(more)
+        back[order] = more
         return out, back
 
     def learn(self, tokens: np.ndarray, first: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -228,7 +227,7 @@ def train(network: Network, tokens: np.ndarray, starts: np.ndarray, lengths: np.
         h = network.learn(t, first, place >= 0, h[: t.shape[1]])
 
 
-def score(network: Network, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 256) -> np.ndarray:
+def score(network: Network, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 512) -> np.ndarray:
     """Natural log of the chance of each token of whole documents, in the order of ``tokens``."""
     out = np.zeros(len(tokens), FLOAT)
     if not len(tokens):

@@ -468,9 +468,9 @@ def test_scores_against_a_plain_recurrence():
         h = np.zeros(n)
         for t in tokens[s : s + length].tolist():
             soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
-            cls = t // gru.CLASS_WORDS if t < gru.SHORTLIST else t - gru.SHORTLIST + gru.SHORT_CLASSES
+            cls = t // gru.CLASS_WORDS
             p = soft(h @ w["wc"] + w["bc"])[cls]
-            want.append(p + (soft(w["wv"][cls] @ h + w["bv"][cls])[t % gru.CLASS_WORDS] if t < gru.SHORTLIST else 0))
+            want.append(p + soft(w["wv"][cls] @ h + w["bv"][cls])[t % gru.CLASS_WORDS])
             x, g = w["x"][t] + w["b"], h @ w["u"]
             z, r = (1 / (1 + np.exp(-(x[a : a + n] + g[a : a + n]))) for a in (0, n))
             h = h + z * (np.tanh(x[2 * n :] + r * g[2 * n :]) - h)
