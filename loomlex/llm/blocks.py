@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import struct
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +75,15 @@ def builder(split: Callable[[list], list[list]], count_words: Callable[[int | No
         kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(((part << 32) + k, words, counts, payload), kinds)], ["block", "words", "counts", "payload"])
 
+    def numbers() -> dict:
+        """A dictionary that numbers words as they are first asked for."""
+        return defaultdict(count().__next__)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, k, held = TaskContext.get().partitionId(), 0, 0
-        ids, known, sizes, lengths, places, seen, counted = [], [], [], [], [], {}, []
+        ids, known, sizes, lengths, places, seen, counted = [], [], [], [], [], numbers(), []
         for b in batches:
             docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for doc, text, words in zip(docs, texts, split(texts)):
@@ -85,10 +91,9 @@ def builder(split: Callable[[list], list[list]], count_words: Callable[[int | No
                 if ids and held + size > block_bytes:
                     yield close(k, part, ids, known, sizes, lengths, places, seen, counted)
                     k, held = k + 1, 0
-                    ids, known, sizes, lengths, places, seen, counted = [], [], [], [], [], {}, []
+                    ids, known, sizes, lengths, places, seen, counted = [], [], [], [], [], numbers(), []
                 held += size
-                put = seen.setdefault
-                places.append(np.array([put(w, len(seen)) for w in words], np.int32))
+                places.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 ids.append(doc or 0)
                 known.append(doc is not None)
                 sizes.append(size)

@@ -83,14 +83,6 @@ class Streams:
             yield self.tokens[s, :running], self.first[s, :running], self.place[s, :running]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.multiply(x, FLOAT(0.5), out=x)
-    np.tanh(x, out=x)
-    x += 1
-    x *= FLOAT(0.5)
-    return x
-
-
 def _normalise(logits: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Natural log of the chance of the place ``at`` of each row, and the rows' sums; ``logits`` become exponentials.
     Rows are shifted only where exponentials need it."""
@@ -102,31 +94,48 @@ def _normalise(logits: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> tuple[n
     return own - np.log(total), total
 
 
+def _three(weights: np.ndarray) -> np.ndarray:
+    """The columns of both gates and of the candidate, apart."""
+    return np.ascontiguousarray(weights.reshape(len(weights), 3, HIDDEN).transpose(1, 0, 2))
+
+
 class Network:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
         self.seen = {k: np.full(v.shape, 1e-3, FLOAT) for k, v in weights.items()}
 
     def run(self, tokens: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool):
-        """States before each token of a window, and the last one; with ``keep`` also what backpropagation needs."""
+        """States before each token of a window, and the last one; with ``keep`` also what backpropagation needs: the
+        gates and candidates, and what the state gave to the candidates. Each of the three is an array of its own, so
+        that every step works on whole runs of memory."""
         w, n = self.w, HIDDEN
-        inputs, states = w["x"][tokens] + w["b"], np.empty((*tokens.shape, n), FLOAT)
-        # gates, candidates and what the reset gate lets through
-        kept = [np.empty((*tokens.shape, k * n), FLOAT) for k in (2, 1, 1)] if keep else []
+        # the gates' sums are halved beforehand, as a sigmoid is half of one plus the tanh of half
+        half = np.repeat(np.array([0.5, 0.5, 1], FLOAT), n)
+        table = _three((w["x"] + w["b"]) * half)
+        u = _three(w["u"] * half)
+        acts = np.empty((3, *tokens.shape, n), FLOAT)
+        for whole, part in zip(acts, table):
+            np.take(part, tokens, axis=0, out=whole, mode="clip")
+        states, given = np.empty((*tokens.shape, n), FLOAT), np.empty((3, len(tokens) if keep else 1, *h.shape), FLOAT)
         fresh = first.any(1).tolist()
+        h = h.copy()
         for t in range(len(tokens)):
             if fresh[t]:
-                h = np.where(first[t][:, None], FLOAT(0), h)
+                h[first[t]] = 0
             states[t] = h
-            g, x = h @ w["u"], inputs[t]
-            x[:, : 2 * n] += g[:, : 2 * n]
-            zr = _sigmoid(x[:, : 2 * n])
-            z, r, gc = zr[:, :n], zr[:, n:], g[:, 2 * n :]
-            c = np.tanh(x[:, 2 * n :] + r * gc)
-            for whole, part in zip(kept, (zr, c, gc)):
-                whole[t] = part
-            h = h + z * (c - h)
-        return states, h, kept
+            g, gates, c = given[:, t if keep else 0], acts[:2, t], acts[2, t]
+            np.matmul(h, u, out=g)
+            gates += g[:2]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= FLOAT(0.5)
+            z, r = gates
+            c += r * g[2]
+            np.tanh(c, out=c)
+            step = c - h
+            step *= z
+            h += step
+        return states, h, (acts, given[2]) if keep else ()
 
     def output(self, states: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None):
         """Natural log of the chance of each target: of its class and of the symbol in it. With ``grads`` the gradients
@@ -174,31 +183,36 @@ class Network:
     def learn(self, tokens: np.ndarray, first: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One window of backpropagation; returns the state after it."""
         w, n = self.w, HIDDEN
-        states, last, (zr, c, gc) = self.run(tokens, first, h, True)
+        states, last, ((z, r, c), gc) = self.run(tokens, first, h, True)
         grads = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
         flat, mask = states.reshape(-1, n), real.reshape(-1)
-        back = np.zeros_like(flat)
-        _, back[mask] = self.output(flat[mask], tokens.reshape(-1)[mask], grads)
+        if mask.all():
+            _, back = self.output(flat, tokens.reshape(-1), grads)
+        else:
+            back = np.zeros_like(flat)
+            _, back[mask] = self.output(flat[mask], tokens.reshape(-1)[mask], grads)
         back = back.reshape(states.shape)
-        z, r = zr[..., :n], zr[..., n:]
         stay = 1 - z
         to_z, to_c = (c - states) * z * stay, z * (1 - c * c)
         to_r = gc * r * (1 - r)
-        dh, dx, dg = np.zeros_like(h), np.empty((*tokens.shape, 3 * n), FLOAT), np.empty((*tokens.shape, 3 * n), FLOAT)
-        out, fresh = np.ascontiguousarray(w["u"].T), first.any(1).tolist()
+        # of the sums of both gates, of what the state gives to the candidate, and of the candidate's sum
+        dh, d = np.zeros_like(h), np.empty((4, *states.shape), FLOAT)
+        out, fresh = _three(w["u"]).transpose(0, 2, 1).copy(), first.any(1).tolist()
         for t in range(len(tokens) - 1, -1, -1):
-            dc = dh * to_c[t]
-            np.multiply(dh, to_z[t], out=dg[t, :, :n])
-            np.multiply(dc, to_r[t], out=dg[t, :, n : 2 * n])
-            np.multiply(dc, r[t], out=dg[t, :, 2 * n :])
-            dx[t, :, 2 * n :] = dc
-            dh = dh * stay[t] + dg[t] @ out
-            dh += back[t]
+            dz, dr, dg, dc = d[:, t]
+            np.multiply(dh, to_z[t], out=dz)
+            np.multiply(dh, to_c[t], out=dc)
+            np.multiply(dc, to_r[t], out=dr)
+            np.multiply(dc, r[t], out=dg)
+            dh *= stay[t]
+            through = np.matmul(d[:3, t], out)
+            for part in (*through, back[t]):
+                dh += part
             if fresh[t]:
                 dh[first[t]] = 0
-        dx[..., : 2 * n] = dg[..., : 2 * n]
-        grads["u"] += flat.T @ dg.reshape(-1, 3 * n)
-        dx = dx.reshape(-1, 3 * n)
+        d = d.reshape(4, -1, n)
+        grads["u"] = np.concatenate([flat.T @ x for x in d[:3]], 1)
+        dx = np.concatenate((d[0], d[1], d[3]), 1)
         flat = tokens.reshape(-1)
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         ranked = flat[order]
