@@ -39,7 +39,9 @@ def file_name(text: str) -> str:
 
 
 def _two(c: str) -> Column:
-    return F.format_string("%.2f", F.col(c))
+    """Two places as C's printf has them: the double's exact value decides, and of ties the even digit. (Java's
+    format_string rounds the shortest decimal half up.)"""
+    return F.replace(F.format_number(F.col(c), 2), F.lit(","), F.lit(""))
 
 
 def _line(*cells: Column) -> Column:

@@ -309,3 +309,11 @@ def test_dependency_arrows(corpus):
     assert K.bcql_page(corpus, '1:[lemma="suggest"] -obj-> 2:[]')["total"] == 1
     with pytest.raises(bcql.PatternError):
         matching.matches(corpus.tokens, {"q": "[] -amod-> [] []"})
+
+
+def test_two_places(spark):
+    """As printf has them, also where a score ends in 5: the double's exact value decides, of ties the even digit."""
+    scores = [8.125, 8.375, 8.005, 1.005, 2.675, 9.995, 13.235, 0.0, 14.0, 1234.565] + [k / 1e6 for k in range(5000, 14_000_000, 10_000 * 7)]
+    rows = spark.createDataFrame([("r", f"h{k}", "c", 1, x) for k, x in enumerate(scores)], "rel string, head string, collocate string, freq long, log_dice double")
+    lines = {r["line"] for r in X.sketch_lines(rows, 2).collect()}
+    assert lines == {"r,h%d,c,1,%.2f" % (k, x) for k, x in enumerate(scores)}
