@@ -317,3 +317,33 @@ def test_two_places(spark):
     rows = spark.createDataFrame([("r", f"h{k}", "c", 1, x) for k, x in enumerate(scores)], "rel string, head string, collocate string, freq long, log_dice double")
     lines = {r["line"] for r in X.sketch_lines(rows, 2).collect()}
     assert lines == {"r,h%d,c,1,%.2f" % (k, x) for k, x in enumerate(scores)}
+
+
+def test_texts_are_not_shuffled(spark):
+    """Hits in texts are made within their rows, and are those that a window over a table of tokens gives."""
+    rng = random.Random(8)
+    words = ["theory", "Model", "famous", "actual", "is", "the", "of", ".", "quickly", "tests", "?", "used", "and", "7", "it", "\u00c9t\u00e9s"]
+    texts = [(k, " ".join(rng.choice(words) for _ in range(70))) for k in range(12)] + [(20, ""), (21, None), (22, "..."), (23, "theory")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    along = Corpus.of_texts(docs)
+    beside = Corpus.of(along.tokens)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    patterns = {r.id: r.pattern for r in english().of_type("SURFACE")} | {r.id: r.pattern for r in english().of_type("DEP")}
+    hits = matching.matches(along.tokens, patterns, docs=along.docs)
+    assert "Exchange" not in plan(hits) and "Window" not in plan(hits)
+    columns = hits.columns
+    everything = sorted(got(hits, *columns), key=repr)
+    assert everything == sorted(got(matching.matches(beside.tokens, patterns), *columns), key=repr) and len(everything) > 500
+    chosen = english().of_type("SURFACE") + english().of_type("DEP")
+    for more in ({}, {"heads": ["theory", "be"]}, {"scope": "sentence"}):
+        a, b = (C.sketch(c, chosen, top=3, **more) for c in (along, beside))
+        assert got(a, *a.columns) == got(b, *a.columns)
+
+
+def test_seeds_are_found_once(spark):
+    """The tables of a seed's field are made from rows that are kept, not from the corpus again for each."""
+    docs = spark.createDataFrame([(0, "famous theory . famous model . actual theory . actual model . famous test . actual test .")], "doc_id long, text string")
+    field = E.single_seed(Corpus.of_texts(docs), english(), "modifier", "theory", min_log_dice=0.0)
+    assert field["seeds"].is_cached and field["expansion"].is_cached
+    assert got(field["nouns"], "noun", "shared_count") == [("model", 2), ("test", 2)]
+    assert got(field["core"], "collocate", "shared_by") == [("actual", 2), ("famous", 2)]
