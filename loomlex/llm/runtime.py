@@ -2,35 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import os
 import re
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlex import workers
+
 #: Rows of an Arrow batch. Texts can be long, so batches are kept short; Spark's own byte limit applies too.
 BATCH_ROWS = 512
 
-_shipped: set[str] = set()
-
 
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches, which are made when a result is read and so must stay bounded, and give the workers this
-    package; its archive goes when the driver ends."""
+    package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        if os.path.isdir(package):
-            top, name = os.path.split(package)
-            folder = tempfile.mkdtemp()
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", top, name))
-        _shipped.add(app)
+    workers.ship(spark)
 
 
 def scratch_root(spark: SparkSession) -> str:
