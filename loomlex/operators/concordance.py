@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from loomlex.functions import text as T
 from loomlex.plans import bcql, matching
-from loomlex.sources.corpus import Corpus
+from loomlex.sources.corpus import Corpus, documents_of, exploded
 from loomlex.sources.grammar import Grammar, resolve
 
 CONTEXT, SHORT_CONTEXT = 60, 5
@@ -42,12 +42,21 @@ def with_context(tokens: DataFrame, hits: DataFrame, window: int = CONTEXT) -> D
 def concordance(corpus: Corpus, pattern: str, size: int = 20, offset: int = 0, window: int = CONTEXT, guard: bool = False) -> DataFrame:
     """One page of a pattern's hits with context; the collocate is the token labelled 2, else the hit's last."""
     parsed = bcql.parse(pattern, guard)
-    hits = matching.matches(corpus.tokens, {"q": parsed})
-    return with_context(corpus.tokens, page(hits, size, offset), window).orderBy("doc_id", "start", "end")
+    hits = page(found(corpus, {"q": parsed}), size, offset)
+    tokens = corpus.tokens
+    if corpus.texts is not None:
+        hits = hits.persist()  # a page of rows, read twice: only its documents' texts are made tokens
+        tokens = exploded(documents_of(corpus.texts.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")))
+    return with_context(tokens, hits, window).orderBy("doc_id", "start", "end")
+
+
+def found(corpus: Corpus, patterns: dict, **more) -> DataFrame:
+    """Hits of patterns by what the corpus has: blocks, or a table of tokens."""
+    return matching.matches(corpus.tokens, patterns, docs=corpus.docs, blocks=corpus.blocks, **more)
 
 
 def count(corpus: Corpus, pattern: str) -> int:
-    return matching.matches(corpus.tokens, {"q": pattern}).count()
+    return found(corpus, {"q": pattern}).count()
 
 
 def bcql_page(corpus: Corpus, pattern: str, size: int = 20, offset: int = 0) -> dict:
