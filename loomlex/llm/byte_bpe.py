@@ -1,8 +1,9 @@
 """Byte-level BPE with Spark's higher-order functions.
 
 Each distinct pre-token of the corpus is encoded once (once for every SALT_BLOCKS blocks): a fold over its byte array
-merges the adjacent pair of the lowest rank, leftmost first, until no pair has a rank. The rank map is one literal, in
-which a pair of pieces stands in one of two places, so that a lookup reads two entries of the vocabulary at most.
+merges the adjacent pair of the lowest rank, leftmost first, until no pair has a rank. The rank map is one array, in
+which a pair of pieces stands in one of two places, so that a lookup reads two entries of the vocabulary at most. It is
+read from a file by a scalar subquery: a literal of it would be printed, a megabyte long, by every plan that holds it.
 Documents get the ids of their words by blocks; decoding concatenates the ids' binary pieces.
 
 A fold copies its arrays once for each merge. So a long word is folded in overlapping windows, which are put together
@@ -20,12 +21,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blocks as B
-from . import pretokens
+from . import pretokens, runtime
 
 #: Bits of a rank: three must go into a number, and leave room for where a piece starts.
 MOST_BITS = 20
@@ -59,8 +60,8 @@ def _last_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, int, int] |
 
 
 class Literals:
-    """What the fold looks up, as literals of type array<long>. JSON is the public way to literals of this size;
-    Catalyst folds them once, when it plans."""
+    """What the fold looks up, as arrays of type array<long>: literals, for single words, or a row of a file. JSON is
+    the public way to literals of this size; Catalyst folds them once, when it plans."""
 
     def __init__(self, ranks: dict[bytes, int]):
         #: Bits of a rank where a word's pieces are held; the highest number of so many bits is no rank.
@@ -100,6 +101,14 @@ class Literals:
     def column(self, values: list[int]) -> Column:
         return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<long>")
 
+    def tables(self) -> Column:
+        return F.struct(self.column(self.bytes).alias("bytes"), self.column(self.pairs).alias("pairs"))
+
+    def written(self, spark: SparkSession) -> Column:
+        """``tables``, written to the shared folder and read when a plan is run: the plan has the file's name only."""
+        row = spark.createDataFrame([(self.bytes, self.pairs)], "bytes array<long>, pairs array<long>").coalesce(1)
+        return runtime.materialise(row, "ranks").select(F.struct("bytes", "pairs")).scalar()
+
 
 def _one(value: Column) -> Column:
     """An array of one value; this function is evaluated much faster than the one that takes any number."""
@@ -115,12 +124,14 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def encode_word(word: Column, literals: Literals) -> Column:
-    """The ids of one pre-token, an array<int>; an empty one has none."""
+def encode_word(word: Column, literals: Literals, tables: Column | None = None) -> Column:
+    """The ids of one pre-token, an array<int>; an empty one has none. tables: those of ``literals``, where they are
+    written."""
     # one character for each byte
     letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
     ids = lambda held: F.when(F.length(letters) > 0, F.transform(F.split(letters, ""), lambda c: F.get(held, F.ascii(c)))).otherwise(F.array().cast("array<long>"))
-    return _let(literals.column(literals.bytes), lambda held: _let(ids(held), lambda i: _let(literals.column(literals.pairs), lambda pairs: _encode(i, pairs, literals))))
+    found = lambda t: _let(t["bytes"], lambda held: _let(ids(held), lambda i: _let(t["pairs"], lambda pairs: _encode(i, pairs, literals))))
+    return _let(literals.tables() if tables is None else tables, found)
 
 
 def _encode(ids: Column, pairs: Column, literals: Literals) -> Column:
@@ -192,7 +203,11 @@ def encode_blocks(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     rows = B.salted(B.word_rows(blocks).select("word", "block", "place"), B.salts(blocks))
     same = Window.partitionBy("word", "salt").orderBy("block")
     rows = rows.withColumn("n", F.row_number().over(same))
-    rows = rows.withColumn("own", F.when(F.col("n") == 1, encode_word(F.col("word"), Literals(ranks))))
+    literals = Literals(ranks)
+    # the analyser wants no subquery in the fold; read once, the column is put there by the optimiser, and not into rows
+    rows = rows.withColumn("tables", literals.written(blocks.sparkSession))
+    own = F.when(F.col("n") == 1, encode_word(F.col("word"), literals, F.col("tables")))
+    rows = rows.select("block", "place", "word", "salt", own.alias("own"))
     return rows.select("block", "place", F.first("own", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("ids"))
 
 

@@ -384,6 +384,14 @@ def test_byte_bpe(spark):
     assert base64.b64decode("IQ==") in ranks
 
 
+def test_plans_hold_no_rank_map(spark):
+    """Plans are printed, shipped and kept by the driver: the rank map, a megabyte, is read from a file by them."""
+    found = byte_bpe.roundtrip(table(spark, TEXTS), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert len(found._jdf.queryExecution().toString()) < 200_000
+    # nor does a row hold it
+    assert "AS tables" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_long_words(spark):
     """Words of many letters without white space, random and repeated, are folded in windows."""
     import tiktoken
